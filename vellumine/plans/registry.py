@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from vellumine.plans import nested_queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(nested_queries.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(nested_queries.SQL)
