@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.llm import mixing, packing, splitting, topn
+from vellumine.llm import mixing, packing, sentences, splitting, topn
 from vellumine.sources.tables import table
 
 
+def p1_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(sentences.texts(table(spark, d, "sections"), table(spark, d, "ssc_input")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = sentences.texts(table(spark, d, "sections"), table(spark, d, "ssc_input")).where("pdf_kind = 'digital'")
+    return sentences.found(sentences.sentence_units(rows))
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(splitting.items(table(spark, d, "sections"), table(spark, d, "ssc_input")))
 
@@ -58,4 +67,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_sentences, p7_found, p7_placements, p7_fill, p8_found, p8_report, p8_mix)}
+    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_pieces, p4_found, p4_sentences, p7_found, p7_placements, p7_fill, p8_found, p8_report, p8_mix)}
