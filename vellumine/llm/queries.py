@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.llm import mixing, packing, sentences, splitting, topn
+from vellumine.llm import mixing, packing, pii, sentences, splitting, topn
 from vellumine.sources.tables import table
 
 
@@ -66,5 +66,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.found(p8_report(spark, d))
 
 
+def p9_details(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return pii.details(documents, pii.name_lexicon(documents, table(spark, d, "given_names")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(p9_details(spark, d))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return pii.redacted(documents, pii.name_lexicon(documents, table(spark, d, "given_names")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_pieces, p4_found, p4_sentences, p7_found, p7_placements, p7_fill, p8_found, p8_report, p8_mix)}
+    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_pieces, p4_found, p4_sentences, p7_found, p7_placements, p7_fill, p8_found, p8_report, p8_mix, p9_found, p9_details, p9_redacted)}
