@@ -6,9 +6,15 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import vellumine
+
+# Python functions travel with their code, so executors needn't have the package installed.
+cloudpickle.register_pickle_by_value(vellumine)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, read from the session.
