@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.llm import mixing, packing, pii, sentences, splitting, topn
+from vellumine.llm import mixing, packing, pii, quality, sentences, splitting, topn
 from vellumine.sources.tables import table
 
 
@@ -27,6 +27,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.found(p2_pieces(spark, d))
 
 
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judged(quality.values(table(spark, d, "sections")), quality.common_words(table(spark, d, "common_words")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.found(p3_scores(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.found(topn.top_predictions(table(spark, d, "ssc_preds")))
 
@@ -81,4 +89,4 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_pieces, p4_found, p4_sentences, p7_found, p7_placements, p7_fill, p8_found, p8_report, p8_mix, p9_found, p9_details, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_pieces, p3_found, p3_scores, p4_found, p4_sentences, p7_found, p7_placements, p7_fill, p8_found, p8_report, p8_mix, p9_found, p9_details, p9_redacted)}
