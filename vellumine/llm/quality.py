@@ -199,8 +199,8 @@ def verdicts(scores: DataFrame) -> DataFrame:
     repeated = (z["distinct_share"] <= -TAIL) & (F.col("distinct_share") < 0.2) & (z["common_share"] <= -1.5)
     stacked = spaced & (z["mean_word"] <= -TAIL) & (F.col("line_words") < 2) & (F.col("word_count") >= 6)
     unreadable = (z["common_share"] <= -1.5) & (
-        ((z["symbol_share"] >= TAIL) & (F.col("cell_share") < 0.3)) | (spaced & (z["mean_word"] >= 2 * TAIL) & (F.col("longest_word") >= 40))
-        | ((z["letter_share"] <= -2 * TAIL) & (F.col("cell_share") < 0.3)))
+        ((z["symbol_share"] >= TAIL) & (F.col("symbol_share") >= 0.12) & (F.col("cell_share") < 0.3)) | (spaced & (z["mean_word"] >= 2 * TAIL) & (F.col("longest_word") >= 40))
+        | ((z["letter_share"] <= -2 * TAIL) & (F.col("letter_share") < 0.45) & (F.col("cell_share") < 0.3)))
     marked = (F.col("marker_lines") >= 0.85) & (F.col("lines") >= 2)
     cells = (z["cell_share"] >= TAIL) & (F.col("cell_share") >= 0.3) & (F.col("lines") >= 2) & (z["common_share"] <= -1.5)
     bare = ((F.col("lines") >= 3) & (F.col("punct_lines") <= 0.1) & (F.col("inner_stops") <= 0.1) & (F.col("line_words") <= 9)

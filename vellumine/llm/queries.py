@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.llm import mixing, packing, pii, quality, sentences, splitting, topn
+from vellumine.llm import mixing, ocr, packing, pii, quality, sentences, splitting, topn
 from vellumine.sources.tables import table
 
 
@@ -44,6 +44,14 @@ def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     return topn.with_sentences(preds, topn.top_predictions(preds))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.Noise(table(spark, d, "sections"), table(spark, d, "ssc_input")).found()
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.Noise(table(spark, d, "sections"), table(spark, d, "ssc_input")).repaired()
+
+
 def p7_placements(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.sized(table(spark, d, "documents")))
 
@@ -89,4 +97,4 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_pieces, p3_found, p3_scores, p4_found, p4_sentences, p7_found, p7_placements, p7_fill, p8_found, p8_report, p8_mix, p9_found, p9_details, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_pieces, p3_found, p3_scores, p4_found, p4_sentences, p5_found, p5_repaired, p7_found, p7_placements, p7_fill, p8_found, p8_report, p8_mix, p9_found, p9_details, p9_redacted)}
