@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vellumine.plans import nested_queries
+from vellumine.plans import nested_queries, text_queries
+
+MODULES = (text_queries, nested_queries)
 
 
 def queries() -> dict:
-    return dict(nested_queries.QUERIES)
+    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(nested_queries.SQL)
+    return {k: q for m in MODULES for k, q in m.SQL.items()}
