@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vellumine.plans import nested_queries, text_queries
+from vellumine.plans import layout_queries, model_queries, nested_queries, text_queries
 
-MODULES = (text_queries, nested_queries)
+MODULES = (text_queries, layout_queries, model_queries, nested_queries)
 
 
 def queries() -> dict:

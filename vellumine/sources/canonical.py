@@ -39,13 +39,14 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     A page is bounded, so its numbering needs no more than the page's rows in one place.
     """
     p = table(spark, d, "layouts").select("record_id", F.posexplode("pages").alias("page_pos", "p"))
-    b = p.select("record_id", "page_pos", F.posexplode("p.layout.bundles").alias("parent", "b"))
-    inner = b.select("record_id", "page_pos", "parent", F.posexplode("b.tokens").alias("k", "t"))
-    rest = p.select("record_id", "page_pos", F.lit(None).cast("int").alias("parent"), F.posexplode("p.layout.remaining_tokens").alias("k", "t"))
+    p = p.select("record_id", "page_pos", F.col("p.width").alias("pw"), F.col("p.height").alias("ph"), "p")
+    b = p.select("record_id", "page_pos", "pw", "ph", F.posexplode("p.layout.bundles").alias("parent", "b"))
+    inner = b.select("record_id", "page_pos", "pw", "ph", "parent", F.posexplode("b.tokens").alias("k", "t"))
+    rest = p.select("record_id", "page_pos", "pw", "ph", F.lit(None).cast("int").alias("parent"), F.posexplode("p.layout.remaining_tokens").alias("k", "t"))
     every = inner.unionByName(rest).where(_whole(F.col("t.bbox")))
     w = Window.partitionBy("record_id", "page_pos").orderBy(F.col("parent").asc_nulls_last(), "k")
     return every.select("record_id", "page_pos", (F.row_number().over(w) - 1).alias("token_id"), "parent", F.col("t.text").alias("text"),
-                        F.col("t.type").alias("type"), F.col("t.confidence").alias("confidence"), *_box(F.col("t.bbox")))
+                        F.col("t.type").alias("type"), F.col("t.confidence").alias("confidence"), *_box(F.col("t.bbox")), "pw", "ph")
 
 
 def split_sentences(df: DataFrame, text: Column, *keys: str) -> DataFrame:
