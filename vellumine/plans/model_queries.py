@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.operators import datasets as ds
 from vellumine.operators import metrics as mt
 from vellumine.operators import rank as rk
+from vellumine.operators import scorers as sc
 from vellumine.operators import segment as sg
 from vellumine.operators import sequence as sq
 from vellumine.plans import sqlviews as v
+from vellumine.plans.text_queries import SQL as _TEXT_SQL
+from vellumine.session import shared_dir
 from vellumine.sources import canonical
 from vellumine.sources.tables import table
+from vellumine.streaming import facets as fs
 
 QUERIES, SQL = {}, {}
+SQL_FACETS = _TEXT_SQL["facet_counts"]
 
 
 def query(sql: str | None = None):
@@ -290,3 +297,48 @@ def error_indices(spark: SparkSession, d: str) -> DataFrame:
 def papers_to_process(spark: SparkSession, d: str) -> DataFrame:
     done = table(spark, d, "ssc_preds").select("paper_id").distinct()
     return table(spark, d, "papers").select("id", "paper_id").join(done, "paper_id", "left_anti").select("id", "paper_id")
+
+
+# ---- scorers and streams -------------------------------------------------------------------------
+
+
+@query()
+def classify_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sc.classify_sentences(table(spark, d, "ssc_input"))
+
+
+@query()
+def detect_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return sc.detect_tokens(canonical.tokens(spark, d))
+
+
+@query()
+def suppress_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return sc.suppress(canonical.blocks(spark, d).withColumnRenamed("confidence", "score"))
+
+
+@query()
+def author_clauses(spark: SparkSession, d: str) -> DataFrame:
+    return sc.condense_clauses(canonical.doc_sentences(spark, d))
+
+
+@query()
+def calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("vec_id", F.get("embedding", 0).cast("double").alias("score"), (F.col("label") % 2).cast("double").alias("hit"))
+    return sc.calibrate(rows).transform(_assembled(rows)).select("vec_id", F.round("calibrated", 6).alias("calibrated"))
+
+
+def _assembled(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=["score"], outputCol="_f").transform(rows)
+
+
+@query(SQL_FACETS)
+def stream_facets(spark: SparkSession, d: str) -> DataFrame:
+    """All facets by the file stream: what has arrived is processed once and read back."""
+    home = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    sections = table(spark, d, "sections")
+    stream = fs.section_stream(spark, f"{d}/sections.parquet", sections.schema)
+    fs.run_available(stream, f"{home}/out", f"{home}/state")
+    return spark.read.parquet(f"{home}/out").groupBy("label").agg(F.count("*").alias("n"))
