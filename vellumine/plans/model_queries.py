@@ -339,6 +339,7 @@ def stream_facets(spark: SparkSession, d: str) -> DataFrame:
     """All facets by the file stream: what has arrived is processed once and read back."""
     home = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     sections = table(spark, d, "sections")
-    stream = fs.section_stream(spark, f"{d}/sections.parquet", sections.schema)
+    # a pattern, since the table may be one file or a folder of them
+    stream = fs.section_stream(spark, f"{d}/sections.parque[t]", sections.schema)
     fs.run_available(stream, f"{home}/out", f"{home}/state")
     return spark.read.parquet(f"{home}/out").groupBy("label").agg(F.count("*").alias("n"))
