@@ -31,6 +31,7 @@ def test_lines_marks_and_missing_blanks():
     assert units("[1] A. Roe and B. Doe. Title here. In Proc. X, 2001.\n(1) One. Two.\nTable 1: A. b.\n\n  p1 | 2. A | 3") == [
         "[1] A. Roe and B. Doe. Title here. In Proc. X, 2001.", "(1) One.", "Two.", "Table 1: A. b.", "p1 | 2. A | 3"]
     assert units("We did it.[3] Next one.As said.") == ["We did it.[3]", "Next one.", "As said."]
+    assert units("Fine.Dr. Roe went.Im 2. Durchgang war es.No. 5 of it. In the U.S. It is.") == ["Fine.", "Dr. Roe went.", "Im 2. Durchgang war es.", "No. 5 of it.", "In the U.S.", "It is."]
     assert units("Small (p < .05). Fine (p = .01)! Go to https://a.example/v1.Two/x.html now.") == ["Small (p < .05).", "Fine (p = .01)!", "Go to https://a.example/v1.Two/x.html now."]
 
 

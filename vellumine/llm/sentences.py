@@ -56,6 +56,7 @@ _STOP = re.compile(r"[.!?…‥⋯]+|[。！？｡]+|[।॥]+|[؟]+|[;;](?=\s|$
 _MARKS = re.compile(r"(?:\[\d+(?:\s*[,–-]\s*\d+)*\])+|[⁰¹²³⁴-⁹]+")
 _BEFORE_WORD = frozenset(" \t\u00a0\u3000\"“”„«»‘’([（「『")
 _ODD_START = re.compile(r"[a-z](?:[A-Z]|-[a-z])")
+_GLUED = re.compile(r".*(?:[^\W\d_]{2}\.|[\d%)\]][.!?]|[!?\])\"”»])(?=[^\W\d_]+$)")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -66,6 +67,12 @@ def _tail(line: str, end: int) -> int:
     return end
 
 
+def _last_piece(word: str) -> str:
+    """The word itself where a sentence before it ended without a blank, as in ``done.Dr``."""
+    m = None if word.lower() in INNER or word.lower() in EITHER else _GLUED.match(word)
+    return word[m.end() :] if m else word
+
+
 def _is_greek(c: str) -> bool:
     return "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿"
 
@@ -116,7 +123,7 @@ def _closing(line: str, stop: re.Match, end: int, after: int, spaced: bool) -> f
     if quoted:
         return 2.5 + opener
     begin = _tail(line, at)
-    closer = line[begin:at]
+    closer = _last_piece(line[begin:at])
     low = closer.lower().lstrip("'([").rstrip(")]")
     if not low:
         return 2.0 + opener if spaced or kind != "digit" else -5.0
@@ -149,7 +156,7 @@ def _closing(line: str, stop: re.Match, end: int, after: int, spaced: bool) -> f
         return -4.0
     if low.isdigit() and len(low) <= 2 and kind == "upper":
         gap = len(line[:begin].rstrip())
-        if gap and line[_tail(line, gap) : gap].lower() in ORDINAL_LEFT:
+        if gap and _last_piece(line[_tail(line, gap) : gap]).lower() in ORDINAL_LEFT:
             return -4.0
     return 3.0 + opener
 
