@@ -117,3 +117,55 @@ def font_vocabulary(fonts: DataFrame, more_than: int) -> DataFrame:
 def problematic(rows: DataFrame, column: str) -> DataFrame:
     """Items that are empty or hold nulls."""
     return rows.where((F.size(column) == 0) | F.exists(column, lambda x: x.isNull()))
+
+
+def levels(blocks: DataFrame, clustered: DataFrame) -> DataFrame:
+    """Three-level table of a page: blocks, lines and words with ``block_id``, ``line_id`` and level flags.
+
+    ``clustered`` are tokens with ``row_id``; a line is a row within a block, -1 stands for no parent.
+    """
+    parent = F.coalesce("parent", F.lit(-1))
+    b = blocks.select(*PAGE, F.col("block_id").cast("long").alias("id"), "x1", "y1", "x2", "y2", F.lit(None).cast("string").alias("text"), F.col("type").alias("category"),
+                      F.lit(-1).alias("block_id"), F.lit(-1).cast("long").alias("line_id"), F.lit(True).alias("is_block"), F.lit(False).alias("is_line"))
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_id", F.coalesce("text", F.lit("")).alias("t")))), lambda s: s["t"]), " ")
+    line = clustered.groupBy(*PAGE, parent.alias("block_id"), F.col("row_id").cast("long").alias("id")).agg(
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), words.alias("text"), F.min_by("type", "token_id").alias("category"))
+    li = line.select(*PAGE, "id", "x1", "y1", "x2", "y2", "text", "category", "block_id", F.lit(-1).cast("long").alias("line_id"), F.lit(False).alias("is_block"), F.lit(True).alias("is_line"))
+    w = clustered.select(*PAGE, F.col("token_id").cast("long").alias("id"), "x1", "y1", "x2", "y2", "text", F.col("type").alias("category"), parent.alias("block_id"),
+                         F.col("row_id").cast("long").alias("line_id"), F.lit(False).alias("is_block"), F.lit(False).alias("is_line"))
+    return b.unionByName(li).unionByName(w)
+
+
+def words_of(table: DataFrame) -> DataFrame:
+    return table.where("NOT is_block AND NOT is_line")
+
+
+def with_line_parent(table: DataFrame) -> DataFrame:
+    """Words whose block comes from their line."""
+    lines = table.where("is_line").select(*PAGE, F.col("id").alias("line_id"), F.col("block_id").alias("line_block")).dropDuplicates([*PAGE, "line_id", "line_block"])
+    first = lines.groupBy(*PAGE, "line_id").agg(F.min("line_block").alias("line_block"))
+    return words_of(table).join(first, [*PAGE, "line_id"], "left")
+
+
+def page_json(table: DataFrame) -> DataFrame:
+    """``(page, layout)``: the three levels as one JSON object of blocks, lines and tokens."""
+    item = F.struct("id", F.array("x1", "y1", "x2", "y2").alias("bbox"), F.col("category").alias("type"), "text", F.col("line_id").alias("parent_line_id"), F.col("block_id").alias("parent_block_id"))
+
+    def level(condition: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.expr(condition), item)))
+
+    return table.groupBy(*PAGE).agg(F.to_json(F.struct(level("is_block").alias("blocks"), level("is_line").alias("lines"), level("NOT is_block AND NOT is_line").alias("tokens"))).alias("layout"))
+
+
+def bundles_from_levels(table: DataFrame) -> DataFrame:
+    """Blocks with their words, the bundle form of the three-level table."""
+    b = table.where("is_block").select(*PAGE, F.col("id").cast("int").alias("block_id"), F.col("category").alias("type"), "x1", "y1", "x2", "y2")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("text", F.lit("")).alias("t")))), lambda s: s["t"]), " ")
+    return b.join(words_of(table).groupBy(*PAGE, "block_id").agg(text.alias("text")), [*PAGE, "block_id"], "left")
+
+
+def mask_pixels(tokens: DataFrame, cell: float = 4.0) -> DataFrame:
+    """``(page, px, py, type)``: raster cells painted with token types; the later token wins."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell).cast("int"), F.floor(F.col(b) / cell).cast("int")))
+    t = tokens.where("x2 >= x1 AND y2 >= y1 AND type IS NOT NULL").select(*PAGE, "token_id", "type", "y1", "y2", span("x1", "x2").alias("px"))
+    return t.select(*PAGE, "token_id", "type", "px", span("y1", "y2").alias("py")).groupBy(*PAGE, "px", "py").agg(F.max_by("type", "token_id").alias("type"))

@@ -64,3 +64,26 @@ def span_match(span: Column, token: Column) -> Column:
     """Place of a token in a span after both are normalised, 0-based, -1 if absent."""
     clean = F.regexp_replace(span, " - ", "-")
     return F.instr(F.lower(clean), F.lower(F.regexp_replace(token, r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", ""))) - 1
+
+
+def span_boxes(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Boxes of a span of text on a page, one per row it runs over.
+
+    ``tokens`` has ``keys``, ``token_id``, ``text``, a box and ``row_id``; ``spans`` has ``keys``, ``span_id``
+    and ``span``. Tokens found in the span are taken; of them the first longest run of consecutive ones
+    counts. A span without any token gives no rows.
+    """
+    hits = tokens.join(spans, keys).where(F.col("text").isNotNull() & (F.col("text") != "") & (span_match(F.col("span"), F.col("text")) >= 0))
+    w = Window.partitionBy(*keys, "span_id").orderBy("token_id")
+    hits = hits.withColumn("_g", F.col("token_id") - F.row_number().over(w))
+    runs = hits.groupBy(*keys, "span_id", "_g").agg(F.count("*").alias("n"), F.min("token_id").alias("first"))
+    best = runs.groupBy(*keys, "span_id").agg(F.max_by("_g", F.struct("n", (-F.col("first")).alias("f"))).alias("_g"))
+    kept = hits.join(best, [*keys, "span_id", "_g"], "left_semi")
+    return kept.groupBy(*keys, "span_id", "row_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+
+
+def in_chunks(numbers: DataFrame, chunks: DataFrame, key: str, number: str = "token_id", cell: int = 256) -> DataFrame:
+    """The first chunk ``[start, start + length)`` that holds each number; a range join over cells of the sequence."""
+    n = numbers.select(key, F.col(number), F.expr(f"{number} div {cell}").alias("_cell"))
+    c = chunks.select(key, F.col("start").alias("_s"), (F.col("start") + F.col("length")).alias("_e")).withColumn("_cell", F.explode(F.sequence(F.expr(f"_s div {cell}"), F.expr(f"(_e - 1) div {cell}"))))
+    return n.join(c, [key, "_cell"]).where((F.col(number) >= F.col("_s")) & (F.col(number) < F.col("_e"))).groupBy(key, number).agg(F.min("_s").alias("chunk"))

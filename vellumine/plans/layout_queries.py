@@ -351,3 +351,118 @@ def pages_without_layout(spark: SparkSession, d: str) -> DataFrame:
 def layouts_to_papers(spark: SparkSession, d: str) -> DataFrame:
     papers = table(spark, d, "papers").where("paper_sha IS NOT NULL").groupBy("paper_sha").agg(F.min("id").alias("paper"))
     return table(spark, d, "layouts").select("record_id", "paper_sha").join(papers, "paper_sha", "left").select("record_id", "paper")
+
+
+# ---- three-level tables, spans and display -----------------------------------------------------------
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return lo.levels(_B(spark, d), g.rows(_T(spark, d)))
+
+
+_LEVELS = f"""lv AS (SELECT {P}, CAST(block_id AS BIGINT) AS id, x1, y1, x2, y2, CAST(NULL AS VARCHAR) AS text, type AS category, -1 AS block_id, CAST(-1 AS BIGINT) AS line_id, true AS is_block, false AS is_line FROM blocks
+UNION ALL SELECT {P}, CAST(row_id AS BIGINT), min(x1), min(y1), max(x2), max(y2), string_agg(coalesce(text, ''), ' ' ORDER BY token_id), arg_min({{'t': type}}, token_id).t, coalesce(parent, -1), -1, false, true FROM clustered GROUP BY {P}, row_id, coalesce(parent, -1)
+UNION ALL SELECT {P}, token_id, x1, y1, x2, y2, text, type, coalesce(parent, -1), CAST(row_id AS BIGINT), false, false FROM clustered)"""
+
+
+@query(f"{v.LAYOUT}, {_ROWS}, {_LEVELS} SELECT * FROM lv")
+def three_level_table(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d)
+
+
+@query(f"{v.LAYOUT}, {_ROWS}, {_LEVELS} SELECT {P}, id FROM lv WHERE NOT is_block AND NOT is_line")
+def level_filter(spark: SparkSession, d: str) -> DataFrame:
+    return lo.words_of(_levels(spark, d)).select(*g.PAGE, "id")
+
+
+@query(f"{v.LAYOUT}, {_ROWS}, {_LEVELS}, l AS (SELECT {P}, id AS line_id, min(block_id) AS line_block FROM lv WHERE is_line GROUP BY {P}, id) SELECT {P}, id, line_id, line_block FROM lv LEFT JOIN l USING ({P}, line_id) WHERE NOT is_block AND NOT is_line")
+def parent_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return lo.with_line_parent(_levels(spark, d)).select(*g.PAGE, "id", "line_id", "line_block")
+
+
+@query()
+def page_level_json(spark: SparkSession, d: str) -> DataFrame:
+    return lo.page_json(_levels(spark, d))
+
+
+@query()
+def table_to_layout(spark: SparkSession, d: str) -> DataFrame:
+    return lo.from_table(lo.to_table(_B(spark, d), _T(spark, d)))
+
+
+@query(f"{v.LAYOUT}, {_ROWS}, {_LEVELS}, w AS (SELECT {P}, block_id, string_agg(coalesce(text, ''), ' ' ORDER BY id) AS text FROM lv WHERE NOT is_block AND NOT is_line GROUP BY {P}, block_id) SELECT b.record_id, b.page_pos, b.block_id, b.type, w.text FROM blocks b LEFT JOIN w USING ({P}, block_id)")
+def bundles_from_levels(spark: SparkSession, d: str) -> DataFrame:
+    return lo.bundles_from_levels(_levels(spark, d)).select(*g.PAGE, "block_id", "type", "text")
+
+
+@query(f"{v.LAYOUT}, {_HIT}, a AS (SELECT {P}, token_id, arg_min({{'t': btype}}, block_id).t AS btype FROM hits GROUP BY {P}, token_id) SELECT {P}, token_id, CASE WHEN a.token_id IS NOT NULL THEN a.btype ELSE t.type END AS type FROM tokens t LEFT JOIN a USING ({P}, token_id)".replace("a.token_id IS NOT NULL", "a.hit").replace("arg_min({'t': btype}, block_id).t AS btype", "arg_min({'t': btype}, block_id).t AS btype, true AS hit"))
+def ground_truth_layout(spark: SparkSession, d: str) -> DataFrame:
+    tokens, blocks = _T(spark, d), _B(spark, d)
+    placed = tokens.drop("parent").join(g.assign(tokens, blocks).withColumnRenamed("block_id", "parent"), [*g.PAGE, "token_id"])
+    return lo.inherit(blocks, placed).select(*g.PAGE, "token_id", "type")
+
+
+@query(f"{v.LAYOUT} SELECT p.record_id, p.page_pos, round(q.width / p.width, 6) AS fx, round(q.height / p.height, 6) AS fy FROM pages_v p JOIN pages_v q ON q.record_id = p.record_id AND q.page_pos = 0")
+def image_resize(spark: SparkSession, d: str) -> DataFrame:
+    p = canonical.pages(spark, d)
+    q = p.where("page_pos = 0").select("record_id", F.col("width").alias("w0"), F.col("height").alias("h0"))
+    return p.join(q, "record_id").select(*g.PAGE, F.round(F.col("w0") / F.col("width"), 6).alias("fx"), F.round(F.col("h0") / F.col("height"), 6).alias("fy"))
+
+
+@query()
+def span_bboxes(spark: SparkSession, d: str) -> DataFrame:
+    t = g.rows(_T(spark, d))
+    spans = lo.block_text(_B(spark, d), _T(spark, d)).select(*g.PAGE, F.col("block_id").alias("span_id"), F.col("text").alias("span"))
+    return sg.span_boxes(t, spans, g.PAGE)
+
+
+@query(f"{_WORDS}, f AS (SELECT doc_id, token_id, token_id - row_number() OVER (PARTITION BY doc_id ORDER BY token_id) AS grp FROM words WHERE length(token) >= 5), i AS (SELECT doc_id, grp, min(token_id) AS start, count(*) AS length FROM f GROUP BY 1, 2) SELECT w.doc_id, w.token_id, min(i.start) AS chunk FROM words w JOIN i ON i.doc_id = w.doc_id AND w.token_id >= i.start AND w.token_id < i.start + i.length GROUP BY 1, 2")
+def token_to_chunk(spark: SparkSession, d: str) -> DataFrame:
+    words = sg.words(table(spark, d, "documents"), "doc_id")
+    return sg.in_chunks(words, sg.islands(words.where("char_length(token) >= 5"), "doc_id", "token_id"), "doc_id")
+
+
+@query("SELECT id, instr(lower(replace(title, ' - ', '-')), lower(regexp_extract(title, '[A-Za-z]+$', 0))) - 1 AS at FROM papers WHERE title IS NOT NULL")
+def span_find(spark: SparkSession, d: str) -> DataFrame:
+    last = F.regexp_extract("title", "[A-Za-z]+$", 0)
+    return table(spark, d, "papers").where("title IS NOT NULL").select("id", sg.span_match(F.col("title"), last).alias("at"))
+
+
+@query(f"{v.LAYOUT} SELECT {P}, block_id, coalesce(upper(substr(type, 1, 1)) || lower(substr(type, 2)), 'Not Used') AS shown FROM blocks")
+def display_types(spark: SparkSession, d: str) -> DataFrame:
+    from vellumine.functions.text import display_type
+
+    return _B(spark, d).select(*g.PAGE, "block_id", display_type(F.col("type")).alias("shown"))
+
+
+_COLOURS = " ".join(f"WHEN type = '{k}' THEN '{c}'" for k, c in lo.COLOURS.items() if k)
+
+
+@query(f"{v.LAYOUT}, c AS (SELECT {P}, block_id, CASE {_COLOURS} ELSE '{lo.COLOURS[None]}' END AS hex FROM blocks) SELECT {P}, block_id, hex, CAST('0x' || substr(hex, 2, 2) AS INTEGER) AS red, CAST('0x' || substr(hex, 6, 2) AS INTEGER) AS blue FROM c")
+def block_colours(spark: SparkSession, d: str) -> DataFrame:
+    from vellumine.functions.text import red_green_blue
+
+    known = F.create_map(*[x for k, c in lo.COLOURS.items() if k for x in (F.lit(k), F.lit(c))])
+    hexes = F.coalesce(F.try_element_at(known, "type"), F.lit(lo.COLOURS[None]))
+    return _B(spark, d).select(*g.PAGE, "block_id", hexes.alias("hex")).withColumn("c", red_green_blue(F.col("hex"))).select(*g.PAGE, "block_id", "hex", F.col("c")[0].alias("red"), F.col("c")[2].alias("blue"))
+
+
+@query("SELECT unnest(['" + "', '".join(lo.LABELS) + "']) AS label, CAST(unnest(range(13)) AS INTEGER) AS id")
+def label_map(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in lo.LABELS])).alias("id", "label"))
+
+
+@query(f"{v.LAYOUT} SELECT type, count(*) AS n FROM blocks WHERE type IS NOT NULL AND type NOT IN ('paragraph', 'list', 'title') GROUP BY type")
+def font_oov(spark: SparkSession, d: str) -> DataFrame:
+    known = spark.createDataFrame([("paragraph",), ("list",), ("title",)], "type string")
+    return _B(spark, d).where("type IS NOT NULL").join(known, "type", "left_anti").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT id, regexp_extract(paper_id, '^([a-z]*)', 1) AS venue, regexp_extract(paper_id, '(\d+)[.-](\d+)$', 1) AS number, regexp_extract(paper_id, '(\d+)$', 1) AS item FROM papers")
+def paper_name_parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").select("id", F.regexp_extract("paper_id", r"^([a-z]*)", 1).alias("venue"), F.regexp_extract("paper_id", r"(\d+)[.-](\d+)$", 1).alias("number"), F.regexp_extract("paper_id", r"(\d+)$", 1).alias("item"))
+
+
+@query()
+def token_mask(spark: SparkSession, d: str) -> DataFrame:
+    return lo.mask_pixels(_T(spark, d))

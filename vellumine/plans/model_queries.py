@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.operators import datasets as ds
+from vellumine.operators import geometry as gm
+from vellumine.operators import layout as lo
 from vellumine.operators import metrics as mt
 from vellumine.operators import rank as rk
 from vellumine.operators import scorers as sc
@@ -215,6 +217,27 @@ def rouge_corpus(spark: SparkSession, d: str) -> DataFrame:
     return _rouge(spark, d).groupBy("scope").agg(F.round(F.avg("rouge"), 6).alias("rouge"), F.count("*").alias("n"))
 
 
+@query()
+def rouge_top10(spark: SparkSession, d: str) -> DataFrame:
+    r = _rouge(spark, d).join(table(spark, d, "ssc_input").select("input_id", "paper_id"), "input_id").where("paper_id IS NOT NULL")
+    means = r.groupBy("paper_id").agg(F.round(F.avg("rouge"), 6).alias("rouge"))
+    return means.orderBy(F.col("rouge").desc(), "paper_id").limit(10)
+
+
+@query(f"{v.PREDS} SELECT paper_id, sentence, arg_max(block_id, pred_id) AS block_id FROM preds GROUP BY 1, 2")
+def last_wins_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.predictions(spark, d).groupBy("paper_id", "sentence").agg(F.max_by("block_id", "pred_id").alias("block_id"))
+
+
+@query()
+def detected_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of two detectors with their tokens' voted type, from the stand-in token scorer."""
+    tokens, blocks = canonical.tokens(spark, d), canonical.blocks(spark, d)
+    scored = sc.detect_tokens(tokens).select("record_id", "page_pos", "token_id", "type")
+    placed = scored.join(gm.assign(tokens, blocks).withColumnRenamed("block_id", "parent"), ["record_id", "page_pos", "token_id"])
+    return lo.vote_textual(blocks, placed)
+
+
 # ---- sequences -----------------------------------------------------------------------------------
 
 
