@@ -119,7 +119,9 @@ def section_paths(headers: DataFrame) -> DataFrame:
     n = headers.where("paper_id IS NOT NULL AND header IS NOT NULL").withColumn("number", tx.section_number(F.col("header")))
     top = n.where("number <> ''").groupBy("paper_id", "number").agg(F.max_by("header", F.struct("pos", "block_id")).alias("parent"))
     rows = n.withColumn("_up", F.when(F.col("number").contains("."), F.element_at(F.split("number", r"\."), 1)))
-    joined = rows.join(top.withColumnRenamed("number", "_up"), ["paper_id", "_up"], "left")
+    # headers without parent number needn't meet the map
+    joined = rows.where("_up IS NOT NULL").join(top.withColumnRenamed("number", "_up"), ["paper_id", "_up"], "left")
+    joined = joined.unionByName(rows.where("_up IS NULL").withColumn("parent", F.lit(None).cast("string")))
     path = F.when(F.col("_up").isNotNull(), F.concat(F.coalesce("parent", F.lit("")), F.lit(" @@ "), F.col("header"))).otherwise(F.col("header"))
     return joined.select("paper_id", "block_id", "header", "number", path.alias("path"))
 

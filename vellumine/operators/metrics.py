@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,8 +54,8 @@ def weighted(table: DataFrame, weight: str = "w") -> DataFrame:
 def class_weights(labels: DataFrame, label: str) -> DataFrame:
     """``-ln`` of the share of each label."""
     n = labels.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("_t"))
-    return n.crossJoin(F.broadcast(total)).select("label", "n", (-F.log(F.col("n") / F.col("_t"))).alias("weight"))  # one row
+    total = F.sum("n").over(Window.partitionBy())  # one row per label
+    return n.select("label", "n", (-F.log(F.col("n") / total)).alias("weight"))
 
 
 def lcs(a: list[str], b: list[str]) -> int:
