@@ -16,7 +16,7 @@ rows repeated under one ``doc_id`` count each.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL_BITS = 12
@@ -156,9 +156,11 @@ def report(mixed: DataFrame, plan: list[dict]) -> DataFrame:
     want = spark.createDataFrame(rows, "source string, _key string, target_share double, max_repeats int, source_size long, goal double, outcome string")
     got = mixed.groupBy(F.col("source").alias("_key")).agg(F.sum("size").alias("reached"), (F.max("copy") + 1).alias("most_copies"))
     out = want.join(got, "_key", "left").fillna({"reached": 0, "most_copies": 0})
-    total = got.agg(F.sum("reached").alias("_mix"))
-    return (out.crossJoin(F.broadcast(total))  # one row
-            .withColumn("actual_share", F.round(F.col("reached") / F.col("_mix"), 6)).drop("_mix", "_key"))
+    # one row per target: the window is as small as the list of targets; a source listed twice counts once
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("source")) == 1
+    out = out.withColumn("_one", F.when(first, F.col("reached")).otherwise(0))
+    mix_size = F.sum("_one").over(Window.partitionBy())
+    return out.withColumn("actual_share", F.round(F.col("reached") / mix_size, 6)).drop("_one", "_key")
 
 
 def found(reported: DataFrame) -> DataFrame:
