@@ -25,21 +25,21 @@ def test_results_round_trip(spark, tmp_path):
     assert json.loads(out.json)["u-3"][1]["sentence"] == "B."
 
 
-def test_jsonl_and_s2orc(spark, tmp_path):
+def test_jsonl_and_papers(spark, tmp_path):
     sinks.ssc_jsonl(spark.createDataFrame([("p", ["a", None])], "paper_id string, sentences array<string>"), str(tmp_path / "s"))
     assert readers.ssc_jsonl(spark, str(tmp_path / "s")).first().sentences == ["a", None]
     lines = [{"metadata": {"paper_id": "1", "year": 2016, "arxiv_id": "x"}, "pdf_parse": {"body_text": [{"section": "I", "text": "t"}]}}, {"metadata": {"paper_id": "2", "year": None, "arxiv_id": ""}, "pdf_parse": {"body_text": []}}]
     (tmp_path / "d.jsonl").write_text("\n".join(map(json.dumps, lines)))
-    rows = readers.s2orc(spark, str(tmp_path / "d.jsonl"))
+    rows = readers.paper_jsonl(spark, str(tmp_path / "d.jsonl"))
     assert rows.count() == 2 and [r.paper_id for r in readers.with_year(rows, 2016).collect()] == ["1"]
 
 
 def test_paper_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<PAPER><S>Title</S><ABSTRACT><S>x</S></ABSTRACT><SECTION title="One"><S>s1</S><S>s2</S></SECTION><SECTION title="Two"><S>s3</S></SECTION></PAPER>')
-    p = readers.scisumm_xml(spark, str(tmp_path))
+    p = readers.paper_xml(spark, str(tmp_path))
     row = p.first()
     assert (row.doc_id, row.title, row.abstract, row.sections[1].title) == ("a", "Title", ["x"], "Two")
-    assert readers.scisumm_sentences(p).first().sentences == ["s1", "s2", "s3"]
+    assert readers.paper_xml_sentences(p).first().sentences == ["s1", "s2", "s3"]
     assert json.loads(sinks.paper_json(p).first().json)["body"]["One"] == ["s1", "s2"]
 
 
@@ -92,10 +92,10 @@ def test_extractors_by_name():
         readers.extractor("none")
 
 
-def test_pawls_and_dead_letters(spark, data, tmp_path):
+def test_block_lists_and_dead_letters(spark, data, tmp_path):
     from vellumine.sources import canonical
 
-    out = sinks.pawls_json(canonical.blocks(spark, data), canonical.pages(spark, data))
+    out = sinks.block_lists_json(canonical.blocks(spark, data), canonical.pages(spark, data))
     first = json.loads(out.first().json)
     assert {"page", "blocks"} == set(first[0])
     bad = spark.createDataFrame([(1, "a.pdf")], "error_type int, pdf_name string")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from vellumine.operators.nested import PAGE
 
 PAGES = T.ArrayType(PAGE)
-S2ORC = "metadata struct<paper_id string, authors array<string>, title string, mag_field_of_study array<string>, abstract string, year int, arxiv_id string>, pdf_parse struct<body_text array<struct<section string, text string>>>"
+PAPERS = "metadata struct<paper_id string, authors array<string>, title string, mag_field_of_study array<string>, abstract string, year int, arxiv_id string>, pdf_parse struct<body_text array<struct<section string, text string>>>"
 SSC = "paper_id string, abstract_id long, sentences array<string>, labels array<string>, confs array<double>, highlight_scores array<double>, abstract_scores array<double>"
 SSC_RESULT = "map<string, array<struct<sentence string, label string, prob double>>>"
 SECTIONS = "type string, sections array<struct<header string, body string>>"
@@ -58,9 +58,9 @@ def token_json(spark: SparkSession, path: str) -> DataFrame:
     return p.select("doc_id", "page_pos", F.posexplode("p.tokens").alias("token_id", "t")).select("doc_id", "page_pos", "token_id", "t.*")
 
 
-def s2orc(spark: SparkSession, path: str) -> DataFrame:
+def paper_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """``(paper_id, year, arxiv_id, title, section_pos, section, text)`` of line-delimited papers."""
-    rows = spark.read.schema(S2ORC).json(path)
+    rows = spark.read.schema(PAPERS).json(path)
     return rows.select("metadata.paper_id", "metadata.year", "metadata.arxiv_id", "metadata.title", F.posexplode_outer("pdf_parse.body_text").alias("section_pos", "b")).select(
         "paper_id", "year", "arxiv_id", "title", "section_pos", "b.section", "b.text")
 
@@ -71,7 +71,7 @@ def with_year(papers: DataFrame, year: int | None = None) -> DataFrame:
     return rows if year is None else rows.where(F.col("year") == year)
 
 
-def scisumm_xml(spark: SparkSession, path: str) -> DataFrame:
+def paper_xml(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, title, abstract, sections)`` of paper XML; a section is ``(title, sentences)``."""
     sentence = T.ArrayType(T.StringType())
     section = T.StructType([T.StructField("_title", T.StringType()), T.StructField("S", sentence)])
@@ -81,7 +81,7 @@ def scisumm_xml(spark: SparkSession, path: str) -> DataFrame:
                        F.transform("SECTION", lambda s: F.struct(s["_title"].alias("title"), s["S"].alias("sentences"))).alias("sections"))
 
 
-def scisumm_sentences(papers: DataFrame) -> DataFrame:
+def paper_xml_sentences(papers: DataFrame) -> DataFrame:
     """All section sentences of a paper in order, without the abstract."""
     return papers.select(F.col("doc_id").alias("paper_id"), F.flatten(F.transform("sections", lambda s: s["sentences"])).alias("sentences"))
 

@@ -64,7 +64,7 @@ def layout_json(layouts: DataFrame, path: str) -> None:
     layouts.write.mode("overwrite").json(path)
 
 
-def pawls_json(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+def block_lists_json(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """``(record_id, json)``: pages with blocks as ``[x, y, width, height, Type]``."""
     cell: Column = F.array(F.col("x1").cast("string"), F.col("y1").cast("string"), (F.col("x2") - F.col("x1")).cast("string"), (F.col("y2") - F.col("y1")).cast("string"), F.initcap("type"))
     b = blocks.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("block_id", cell.alias("c")))), lambda s: s["c"]).alias("blocks"))
