@@ -75,6 +75,15 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
         pen = np.concatenate((cost, np.full(len(extra), PENALTY["none"])))
         order = np.argsort(pos, kind="stable")
         at, cost = pos[order], pen[order]
+    # a blank between better boundaries that lie close can't win: what it gains in evenness is less than
+    # what it costs more
+    better = at[cost < PENALTY["blank"]]
+    if better.size:
+        edge = np.concatenate(([0], better, [n]))
+        place = np.searchsorted(edge, at, side="right")
+        dense = (edge[np.minimum(place, edge.size - 1)] - edge[place - 1]) <= step // 4
+        keep = (cost < PENALTY["blank"]) | ~dense
+        at, cost = at[keep], cost[keep]
     at = np.concatenate(([0], at, [n]))
     cost = np.concatenate(([0.0], cost, [0.0]))
     count = max(2, -(-(n - overlap) // step))
