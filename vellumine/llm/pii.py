@@ -7,7 +7,9 @@ weights are log-linear; ``fit`` trains them by the structured perceptron on labe
 weights below are its result on the sentences of ``training_rows``.
 
 Family and further given names are learned from the whole corpus: a word that follows two or more
-listed given names is a family name, a word that precedes three or more family names a given name.
+listed given names, and them in a fifth of its pairs or more, is a family name; a word that precedes
+three or more family names, and them in a twentieth of its pairs or more, is a given name. Shares keep this the
+same at any size.
 
 Defined results: null and empty texts give no rows; placeholders replace exactly the found spans and
 all other text stays; repeated rows give their details again; an empty table gives no rows; very long
@@ -303,8 +305,16 @@ def name_lexicon(documents: DataFrame, given: DataFrame) -> Lexicon:
              .groupBy("g", "f").agg(F.count("*").alias("n")))
     pairs = materialise(pairs)
     listed = given.where("given_name IS NOT NULL").select(F.col("given_name").alias("g")).distinct()
-    family = (pairs.join(listed, "g", "left_semi").groupBy("f").agg(F.count("*").alias("n")).where("n >= 2").select("f"))
-    more = (pairs.join(family, "f", "left_semi").groupBy("g").agg(F.count("*").alias("n")).where("n >= 3").select("g"))
+
+    def sure(by: str, known: DataFrame, other: str, kinds: int, share: float) -> DataFrame:
+        """Words of which enough pairs, in number of partners and in share, have a known partner."""
+        own = F.col("_known").isNotNull()
+        marked = pairs.join(known.select(other, F.lit(True).alias("_known")), other, "left")
+        sums = marked.groupBy(by).agg(F.sum("n").alias("all"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own"), F.sum(own.cast("int")).alias("kinds"))
+        return sums.where((F.col("kinds") >= kinds) & (F.col("own") >= share * F.col("all"))).select(by)
+
+    family = sure("f", listed, "g", 2, 0.2)
+    more = sure("g", family, "f", 3, 0.05)
     words = family.select(F.lit("f").alias("kind"), F.col("f").alias("word")).unionByName(
         more.unionByName(listed).distinct().select(F.lit("g").alias("kind"), F.col("g").alias("word")))
     rows = words.limit(LEXICON_LIMIT + 1).collect()
