@@ -114,3 +114,13 @@ def test_stream_handles_each_file_once(spark, tmp_path):
     spark.createDataFrame([("q", 2, None, "We conclude.")], schema).write.mode("append").parquet(src)
     stream.run_available(stream.section_stream(spark, src, spark.read.parquet(src).schema), out, state)
     assert spark.read.parquet(out).where("paper_id = 'q'").count() == 3
+
+
+def test_sizes_samples_and_ordered_sources(spark, tmp_path):
+    sizes = spark.createDataFrame([("a", 0, 792.0, 612.0)], "savename string, page_id int, height double, width double")
+    sinks.page_sizes_csv(sizes, str(tmp_path / "sizes"))
+    assert tuple(readers.page_sizes_csv(spark, str(tmp_path / "sizes")).first()) == ("a", 0, 792.0, 612.0)
+    (tmp_path / "s.tsv").write_text("id\tname\n1\tx y\n")
+    assert tuple(readers.table_tsv(spark, str(tmp_path / "s.tsv"), "id int, name string").first()) == (1, "x y")
+    c = spark.createDataFrame([("k", 1, None), ("k", 2, "b"), ("k", 3, "c"), ("m", 1, None)], "key string, rank int, url string")
+    assert {r.key: r.url for r in readers.first_available(c, "key", "rank", "url").collect()} == {"k": "b", "m": None}

@@ -217,3 +217,18 @@ def words_from_chars(chars: DataFrame, page_height: str = "page_height") -> Data
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda s: s["text"]), "")
     g = c.groupBy("doc_id", "page_pos", "_g").agg(F.min("k").alias("k"), text.alias("text"), F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("_lo"), F.max("y2").alias("_hi"), F.first(page_height).alias("_h"))
     return g.select("doc_id", "page_pos", "k", "text", "x1", (F.col("_h") - F.col("_hi")).alias("y1"), "x2", (F.col("_h") - F.col("_lo")).alias("y2"))
+
+
+def page_sizes_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("savename string, page_id int, height double, width double").csv(path, header=True)
+
+
+def table_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A tab-separated sample with a header line."""
+    return spark.read.schema(schema).csv(path, header=True, sep="\t")
+
+
+def first_available(candidates: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """``value`` of the first source, by ``order``, that has one for each key; null where none has."""
+    got = candidates.where(F.col(value).isNotNull()).groupBy(key).agg(F.min_by(value, order).alias(value))
+    return candidates.select(key).distinct().join(got, key, "left")

@@ -85,6 +85,11 @@ def dead_letters(failed: DataFrame, path: str) -> None:
     failed.select("error_type", "pdf_name").write.mode("append").option("header", True).csv(path)
 
 
+def manifest_csv(rows: DataFrame, path: str) -> None:
+    """Append what a run fetched or processed to its manifest."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
 def font_vocabulary(fonts: DataFrame, path: str) -> None:
     fonts.select("font").write.mode("overwrite").text(path)
 
