@@ -18,7 +18,10 @@ the capacity is cut into full containers and one rest, any other document is who
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,19 +130,23 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, step_containers: int =
         bases[tier] = tokens
         tokens += windows[tier] * tier
     steps = max(1, -(-(-(-tokens // capacity)) // step_containers))
-    rows = [(s, starts[s] + a, starts[s] + b, t, bases[t] + w * t, c, o) for s, a, b, t, w, c, o in slots]
-    table = spark.createDataFrame(rows, "size int, _from long, _to long, tier int, _base long, _copies long, _off long")
-    k = F.col("rank") - F.col("_from")
-    token = F.col("_base") + F.expr("(rank - _from) div _copies") * F.col("tier") + F.col("_off") + k % F.col("_copies") * F.col("size")
-    return (
-        # the plan has at most a few slots for each size up to the capacity
-        ranked.join(F.broadcast(table), "size").where("rank >= _from AND rank < _to")
-        .withColumn("_t", token)
-        .select("doc_id", "piece", "doc_offset", "size",
-                F.expr(f"_t div {capacity}").alias("container"),
-                (F.col("_t") % capacity).cast("int").alias("container_offset"), "tier",
-                (F.expr(f"_t div {capacity}") % steps).alias("step"))
-    )
+    # slots in the order of the global rank, which they cover without gaps
+    rows = sorted((starts[s] + a, bases[t] + w * t, c, o, t) for s, a, b, t, w, c, o in slots)
+    table = np.array(rows, dtype=np.int64).reshape(-1, 5)
+    shared = spark.sparkContext.broadcast(table)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each item's slot by binary search: no join multiplies a size that very many items share."""
+        plan_ = shared.value
+        for pdf in batches:
+            rank = pdf.pop("rank").to_numpy()
+            at = plan_[np.searchsorted(plan_[:, 0], rank, side="right") - 1]
+            k = rank - at[:, 0]
+            token = at[:, 1] + k // at[:, 2] * at[:, 4] + at[:, 3] + k % at[:, 2] * pdf["size"].to_numpy()
+            yield pdf.assign(container=token // capacity, container_offset=token % capacity, tier=at[:, 4], step=token // capacity % steps)
+
+    schema = "doc_id long, piece int, doc_offset long, size int, container long, container_offset int, tier int, step long"
+    return ranked.select("doc_id", "piece", "doc_offset", "size", "rank").mapInPandas(place, schema)
 
 
 def found(placements: DataFrame) -> DataFrame:
