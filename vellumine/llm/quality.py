@@ -206,7 +206,7 @@ def verdicts(scores: DataFrame) -> DataFrame:
     bare = ((F.col("lines") >= 3) & (F.col("punct_lines") <= 0.1) & (F.col("inner_stops") <= 0.1) & (F.col("line_words") <= 9)
             & (F.col("letter_share") >= 0.6) & (F.col("symbol_share") < 0.2) & (F.col("longest_word") < 60)
             & ((F.col("line_fill") < 0.8) | (F.col("common_share") < 0.12) | (F.col("line_words") <= 4.5)))
-    body = F.when(repeated | stacked, "junk").when(marked, "list").when(cells, "table").when(bare, "list").when(unreadable, "junk")
+    body = F.when(marked, "list").when(repeated | stacked, "junk").when(cells, "table").when(bare, "list").when(unreadable, "junk")
     not_heading = F.col("is_label") | ((z["letter_share"] <= -0.9 * TAIL) & (F.col("letter_share") <= 0.55)) | (z["symbol_share"] >= 2 * TAIL) | (
         spaced & (F.col("mean_word") <= 2) & (F.col("word_count") >= 4))
     return scores.withColumn("verdict", F.when(F.col("place") == "body", body).when(not_heading, "junk"))
