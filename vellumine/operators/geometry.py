@@ -75,9 +75,13 @@ def assign(tokens: DataFrame, blocks: DataFrame, pick: str = "first", order: str
 
     The first containing block is what a greedy pass over the blocks gives, since it takes a token once.
     """
-    agg = F.min if pick == "first" else F.max
-    hit = matches(tokens, blocks).groupBy(*PAGE, "token_id").agg(agg(F.struct(F.col(order).alias("o"), "block_id")).alias("_b"))
-    return tokens.select(*PAGE, "token_id").join(hit, [*PAGE, "token_id"], "left").select(*PAGE, "token_id", F.col("_b.block_id").alias("block_id"))
+    t = tokens.select(*PAGE, "token_id", centre("x").alias("_cx"), centre("y").alias("_cy"))
+    b = blocks.select(*[F.col(k).alias(f"_{k}") for k in PAGE], F.col(order).alias("_ord"), "block_id", "x1", "y1", "x2", "y2")
+    same_page = (t[PAGE[0]] == b[f"_{PAGE[0]}"]) & (t[PAGE[1]] == b[f"_{PAGE[1]}"])
+    # one join keyed by page; the grouping by token keeps its partitioning
+    pairs = t.join(b, same_page & inside(F.col("_cx"), F.col("_cy")), "left")
+    agg = F.min_by if pick == "first" else F.max_by
+    return pairs.groupBy(*PAGE, "token_id").agg(agg("block_id", "_ord").alias("block_id"))
 
 
 def nearest(points: DataFrame, known: DataFrame, value: str, limit: float = 50.0) -> DataFrame:

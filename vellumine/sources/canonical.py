@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as tx
@@ -36,17 +36,16 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens with ``parent`` (null for remaining ones) and ``token_id``, the running number in the page.
 
-    A page is bounded, so its numbering needs no more than the page's rows in one place.
+    A page's tokens are numbered inside its nested row, bundle by bundle and then the remaining ones, so
+    no shuffle is needed.
     """
-    p = table(spark, d, "layouts").select("record_id", F.posexplode("pages").alias("page_pos", "p"))
-    p = p.select("record_id", "page_pos", F.col("p.width").alias("pw"), F.col("p.height").alias("ph"), "p")
-    b = p.select("record_id", "page_pos", "pw", "ph", F.posexplode("p.layout.bundles").alias("parent", "b"))
-    inner = b.select("record_id", "page_pos", "pw", "ph", "parent", F.posexplode("b.tokens").alias("k", "t"))
-    rest = p.select("record_id", "page_pos", "pw", "ph", F.lit(None).cast("int").alias("parent"), F.posexplode("p.layout.remaining_tokens").alias("k", "t"))
-    every = inner.unionByName(rest).where(_whole(F.col("t.bbox")))
-    w = Window.partitionBy("record_id", "page_pos").orderBy(F.col("parent").asc_nulls_last(), "k")
-    return every.select("record_id", "page_pos", (F.row_number().over(w) - 1).alias("token_id"), "parent", F.col("t.text").alias("text"),
-                        F.col("t.type").alias("type"), F.col("t.confidence").alias("confidence"), *_box(F.col("t.bbox")), "pw", "ph")
+    p = table(spark, d, "layouts").select("record_id", F.posexplode("pages").alias("page_pos", "p")).where("p IS NOT NULL")
+    empty = F.array().cast("array<struct<parent:int,t:struct<bbox:array<double>,text:string,type:string,confidence:double>>>")
+    own = F.flatten(F.filter(F.transform("p.layout.bundles", lambda b, i: F.transform(b["tokens"], lambda t: F.struct(i.cast("int").alias("parent"), t.alias("t")))), lambda x: x.isNotNull()))
+    rest = F.transform("p.layout.remaining_tokens", lambda t: F.struct(F.lit(None).cast("int").alias("parent"), t.alias("t")))
+    every = F.filter(F.concat(F.coalesce(own, empty), F.coalesce(rest, empty)), lambda x: _whole(x["t"]["bbox"]))
+    rows = p.select("record_id", "page_pos", F.col("p.width").alias("pw"), F.col("p.height").alias("ph"), F.posexplode(every).alias("token_id", "x"))
+    return rows.select("record_id", "page_pos", "token_id", "x.parent", "x.t.text", "x.t.type", "x.t.confidence", *_box(F.col("x.t.bbox")), "pw", "ph")
 
 
 def split_sentences(df: DataFrame, text: Column, *keys: str) -> DataFrame:
