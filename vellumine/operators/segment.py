@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.session import spread
+
 CELL = 512
 #: Sentences that cover a text without gaps.
 COVERING = r"[^.!?]*[.!?]+|[^.!?]+$"
@@ -12,7 +14,8 @@ COVERING = r"[^.!?]*[.!?]+|[^.!?]+$"
 
 def words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, token_id, token)``: the words between white space."""
-    return df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0))).alias("token_id", "token"))
+    rows = spread(df.select(key, text), key)
+    return rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0))).alias("token_id", "token"))
 
 
 def char_spans(tokens: DataFrame, key: str) -> DataFrame:
@@ -26,7 +29,7 @@ def sentence_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, sent_id, start, end)`` of covering sentences of the text joined by single blanks."""
     joined = F.array_join(F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0)), " ")
     pieces = F.regexp_extract_all(joined, F.lit(COVERING), F.lit(0))
-    rows = df.select(key, F.posexplode(F.transform(pieces, lambda s: F.char_length(s))).alias("sent_id", "n"))
+    rows = spread(df.select(key, text), key).select(key, F.posexplode(F.transform(pieces, lambda s: F.char_length(s))).alias("sent_id", "n"))
     w = Window.partitionBy(key).orderBy("sent_id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("end", F.sum("n").over(w)).withColumn("start", F.col("end") - F.col("n")).drop("n")
 

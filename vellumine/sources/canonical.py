@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as tx
+from vellumine.session import spread
 from vellumine.sources.tables import table
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
@@ -56,7 +57,8 @@ def split_sentences(df: DataFrame, text: Column, *keys: str) -> DataFrame:
 
 def doc_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of documents; five make a block."""
-    return split_sentences(table(spark, d, "documents"), F.col("text"), "doc_id").withColumn("block_id", F.expr("sent_id div 5"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return split_sentences(rows, F.col("text"), "doc_id").withColumn("block_id", F.expr("sent_id div 5"))
 
 
 def paper_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +67,7 @@ def paper_sentences(spark: SparkSession, d: str) -> DataFrame:
     A section row is a block; its header in lower case is the section.
     """
     rows = table(spark, d, "sections").select("paper_id", F.col("section_id").alias("block_id"), F.lower("header").alias("section"), "body")
+    rows = spread(rows.where("body IS NOT NULL"), "block_id")
     return split_sentences(rows, F.col("body"), "paper_id", "block_id", "section").select("paper_id", "block_id", "sent_id", "text", "section")
 
 
