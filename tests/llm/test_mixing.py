@@ -50,6 +50,7 @@ def test_empty(spark):
     plan = mx.quotas(sizes, targets)
     mixed = mx.mix(sizes, plan)
     assert mixed.count() == 0 and [tuple(r) for r in mx.found(mx.report(mixed, plan)).collect()] == [("a", "reduced")]
+    assert mx.report(mixed, plan).first().actual_share is None
 
 
 def test_shards_share_the_sources(spark):

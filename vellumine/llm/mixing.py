@@ -160,7 +160,7 @@ def report(mixed: DataFrame, plan: list[dict]) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("_key").orderBy("source")) == 1
     out = out.withColumn("_one", F.when(first, F.col("reached")).otherwise(0))
     mix_size = F.sum("_one").over(Window.partitionBy())
-    return out.withColumn("actual_share", F.round(F.col("reached") / mix_size, 6)).drop("_one", "_key")
+    return out.withColumn("actual_share", F.round(F.try_divide(F.col("reached").cast("double"), mix_size.cast("double")), 6)).drop("_one", "_key")
 
 
 def found(reported: DataFrame) -> DataFrame:
