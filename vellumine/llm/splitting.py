@@ -30,7 +30,7 @@ PENALTY = {"paragraph": 0.0, "sentence": 0.15, "clause": 0.6, "blank": 1.2, "non
 _STRETCH = re.compile(rf"[^\s{BREAKERS}]+")
 _CUTS = (
     ("paragraph", re.compile(r"\n\s*")),
-    ("sentence", re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s))|[。！？।؟][”’」』）»]*")),
+    ("sentence", re.compile(r"(?:(?<![.!?…])[.!?…]+[\"'”’»)\]]*(?=\s))|[。！？।؟][”’」』）»]*")),
     ("clause", re.compile(r"[,;:](?=\s)|[；，、]")),
     ("blank", re.compile(r"\s+")),
 )
