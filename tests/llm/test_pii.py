@@ -61,3 +61,19 @@ def test_table(spark):
     assert {(1, 3), (1, 21), (2, 18)} <= got
     assert {r.doc_id: r.text for r in pii.redacted(docs, lex).collect()}[4] is None
     assert pii.details(docs.limit(0), lex).count() == 0
+
+
+def test_a_repeated_pair_counts_once(spark):
+    hot = [(k, "Typeset by Arvid Dunmarrow.") for k in range(100, 400)]
+    rest = [(1, "We asked Mira Dunmarrow and Rose Dunmarrow."), (2, "We asked Arvid Okonveda, Arvid Quellard."), (3, "We asked Mira Okonveda, Rose Okonveda, Mira Quellard and Will Quellard.")]
+    docs = spark.createDataFrame(hot + rest, "doc_id long, text string")
+    lex = pii.name_lexicon(docs, spark.createDataFrame([("Mira",), ("Rose",), ("Will",)], "given_name string"))
+    assert "dunmarrow" in lex.family and "arvid" in lex.given
+    got = {(r.doc_id, r.start_pos) for r in pii.details(docs, lex).where("pii = 'name'").collect()}
+    assert {(k, 11) for k, _ in hot} | {(1, 9), (1, 28), (2, 9), (2, 25)} <= got
+
+
+def test_family_names_that_were_not_learned():
+    assert found("Later on Mira Dunmarrow wrote to Rose Tarn-Hollow again.") == [("name", "Mira Dunmarrow"), ("name", "Rose Tarn-Hollow")]
+    for text in ("Will Dunmarrow stay?", "It ended. Rose Garden was next.", "in the May Workshop", "As of May This year", "SEE WILL OTHERS"):
+        assert found(text) == [], text

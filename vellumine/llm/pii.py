@@ -7,9 +7,10 @@ weights are log-linear; ``fit`` trains them by the structured perceptron on labe
 weights below are its result on the sentences of ``training_rows``.
 
 Family and further given names are learned from the whole corpus: a word that follows two or more
-listed given names, and them in a fifth of its pairs or more, is a family name; a word that precedes
-three or more family names, and them in a twentieth of its pairs or more, is a given name. Shares keep this the
-same at any size.
+listed given names, and them in a fifth of its distinct pairs or more, is a family name; a word that
+precedes three or more family names, and them in a twentieth of its distinct pairs or more, is a given
+name. Shares keep this the same at any size, and a pair counts once however often it is repeated. A
+listed given name before a family name that wasn't learned counts inside a sentence.
 
 Defined results: null and empty texts give no rows; placeholders replace exactly the found spans and
 all other text stays; repeated rows give their details again; an empty table gives no rows; very long
@@ -80,6 +81,7 @@ _COMMON = frozenset(
     " under during despite taken by few nobody one each participants readers reviewers recall der die das ein eine wir wie im viele"
     " el los las la le les une nous cette en une table figure section author contact kontakt mean data then reviewer what well"
     " similar well data no is are was does why where there das damit".split())
+_ARTICLE = re.compile(r"(?<!\w)(?:the|a|an|this|that|each|every|our|der|die|das|ein|eine|le|la|les|un|une|el|los|las)$", re.I)
 
 #: Priors of the log-linear weights of the whole-span features; training starts from them.
 PRIORS: dict[str, float] = {
@@ -87,7 +89,7 @@ PRIORS: dict[str, float] = {
     "phone:bias": -0.5, "phone:intl": 2.5, "phone:us": 1.5, "phone:uk": 1.5, "phone:fr": 1.5, "phone:cue": 1.5, "phone:bad": -6.0, "phone:digits": 0.5,
     "id_number:bias": -0.5, "id_number:ssn": 2.0, "id_number:nino": 1.5, "id_number:dni": 1.5, "id_number:nie": 1.5, "id_number:prc": 1.5, "id_number:cue": 1.5, "id_number:bad": -6.0,
     "address:bias": 1.0, "address:town": 1.5, "address:code": 0.5, "address:length": 0.01,
-    "name:bias": -4.0, "name:given": 3.0, "name:family": 2.5, "name:initials": 2.0, "name:reversed": -0.5, "name:cue": 0.8,
+    "name:bias": -4.0, "name:given": 3.0, "name:family": 2.5, "name:initials": 2.0, "name:reversed": -0.5, "name:cue": 0.8, "name:inside": 1.2,
     "name:common": -6.0, "name:title_m": -4.0, "name:abbr": -6.0, "name:length": 0.02,
 }
 
@@ -157,6 +159,7 @@ def _name(text: str, m: re.Match, lexicon: Lexicon) -> Span | None:
             return None
         f["name:given"] = float(known)
         f["name:common"] = float(not known and first in _COMMON)
+        f["name:inside"] = float(known and family not in lexicon.family and family not in _COMMON and _inside(text, m))
     elif m["initials"]:
         family, end = m["family2"].lower(), m.end("family2")
         f["name:initials"] = 1.0
@@ -177,6 +180,14 @@ def _name(text: str, m: re.Match, lexicon: Lexicon) -> Span | None:
     return start, end, "name", f
 
 
+def _inside(text: str, m: re.Match) -> bool:
+    """Whether a given and a family name in title case stand inside a sentence, not behind an article."""
+    if m["given"].isupper() or len(m["family"]) < 3 or m["family"].isupper():
+        return False
+    left = text[max(0, m.start() - 24) : m.start()].rstrip(" \t")
+    return bool(left) and left[-1] not in ".!?:。！？\n" and _ARTICLE.search(left) is None
+
+
 def score(features: dict[str, float], weights: dict[str, float]) -> float:
     return sum(weights.get(k, 0.0) * v for k, v in features.items())
 
@@ -302,16 +313,16 @@ def name_lexicon(documents: DataFrame, given: DataFrame) -> Lexicon:
     pairs = (documents.where("text IS NOT NULL")
              .select(F.explode(F.regexp_extract_all("text", F.lit(_PAIR), F.lit(1))).alias("p"))
              .select(F.regexp_extract("p", r"^\S+", 0).alias("g"), F.regexp_extract("p", r"\S+$", 0).alias("f"))
-             .groupBy("g", "f").agg(F.count("*").alias("n")))
+             .distinct())
     pairs = materialise(pairs)
     listed = given.where("given_name IS NOT NULL").select(F.col("given_name").alias("g")).distinct()
 
     def sure(by: str, known: DataFrame, other: str, kinds: int, share: float) -> DataFrame:
-        """Words of which enough pairs, in number of partners and in share, have a known partner."""
+        """Words of which enough distinct partners, in number and in share, are known."""
         own = F.col("_known").isNotNull()
         marked = pairs.join(known.select(other, F.lit(True).alias("_known")), other, "left")
-        sums = marked.groupBy(by).agg(F.sum("n").alias("all"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own"), F.sum(own.cast("int")).alias("kinds"))
-        return sums.where((F.col("kinds") >= kinds) & (F.col("own") >= share * F.col("all"))).select(by)
+        sums = marked.groupBy(by).agg(F.count("*").alias("all"), F.sum(own.cast("int")).alias("own"))
+        return sums.where((F.col("own") >= kinds) & (F.col("own") >= share * F.col("all"))).select(by)
 
     family = sure("f", listed, "g", 2, 0.2)
     more = sure("g", family, "f", 3, 0.05)
