@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vellumine.llm import mixing as mx
+from vellumine.llm import queries
 
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -58,3 +60,19 @@ def test_shards_share_the_sources(spark):
     plan = mx.quotas(sizes, spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1)], TARGETS))
     n = {r.shard: r["count"] for r in mx.mix(sizes, plan, shards=4, blocks=64).groupBy("shard").count().collect()}
     assert len(n) == 4 and max(n.values()) < 1.5 * min(n.values())
+
+
+def test_found_makes_the_mix(spark, data, monkeypatch):
+    want, seen, make = queries.p8_mix(spark, data).count(), spark.sparkContext.accumulator(0), mx.mix
+
+    def one(size):
+        seen.add(1)
+        return size
+
+    def counted(*args):
+        rows = make(*args)
+        return rows.withColumn("size", F.udf(one, "long").asNondeterministic()("size"))
+
+    monkeypatch.setattr(mx, "mix", counted)
+    assert queries.p8_found(spark, data).count() > 0
+    assert want > 0 and seen.value == want

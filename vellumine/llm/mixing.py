@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumine.session import materialise
+
 LEVEL_BITS = 12
 BLOCKS = 1024
 SHARDS = 16
@@ -163,5 +165,13 @@ def report(mixed: DataFrame, plan: list[dict]) -> DataFrame:
     return out.withColumn("actual_share", F.round(F.try_divide(F.col("reached").cast("double"), mix_size.cast("double")), 6)).drop("_one", "_key")
 
 
+def stored_report(mixed: DataFrame, plan: list[dict]) -> DataFrame:
+    """The report on a mix that is written shard by shard in its shuffled order.
+
+    Both are stored, so that no column read later lets Spark leave a part of the mix out.
+    """
+    return materialise(report(materialise(mixed.repartition("shard").sortWithinPartitions("shard", "shuffle_key")), plan))
+
+
 def found(reported: DataFrame) -> DataFrame:
     return reported.select("source", "outcome")

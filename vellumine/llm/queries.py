@@ -79,7 +79,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.found(p8_report(spark, d))
+    mixed, plan = _mix(spark, d)
+    return mixing.found(mixing.stored_report(mixed, plan))
 
 
 def p9_details(spark: SparkSession, d: str) -> DataFrame:
