@@ -89,3 +89,26 @@ def test_table(spark):
     rows = s.sentence_units(s.texts(sec, ssc)).collect()
     assert sorted((r.src, r.row_id, r.start_pos, r.text) for r in rows) == sorted([("sections", 1, 0, "All did."), ("sections", 1, 9, "Can go.")] * 2 + [("ssc_input", 9, 0, "El Dr. Roe fue."), ("ssc_input", 9, 16, "Bien.")])
     assert s.sentence_units(s.texts(sec.limit(0), ssc.limit(0))).count() == 0
+
+
+def test_prose_with_an_ampersand_is_cut():
+    assert units("Smith & Jones (2010) did it. We repeat it here. A | B holds too.") == ["Smith & Jones (2010) did it.", "We repeat it here.", "A | B holds too."]
+    for row in ("P1 & I liked it. It froze. & 4 \\\\", "P2\tNo. Never.\tn/a\t3", "A & B & 2. C", "P1 | I liked it. It froze. | yes"):
+        assert units(row) == [row], row
+
+
+def test_long_quotations_stay_whole():
+    inner = "One came. Two came. Three came. Four came. Five came. Six came. Seven came."
+    for a, b in ("“”", '""', "„“", "«»", "»«"):
+        assert units(f"We said {a}{inner}{b} and left. Then it ended.") == [f"We said {a}{inner}{b} and left.", "Then it ended."], a
+    assert units(f'It is 5" wide. {inner} It is 6" long.')[:3] == ['It is 5" wide.', "One came.", "Two came."]
+    assert units("Er sagte »nein« und ging. Wir auch. Sie sagte »ja« dann. Gut.") == ["Er sagte »nein« und ging.", "Wir auch.", "Sie sagte »ja« dann.", "Gut."]
+
+
+def test_rows_and_captions_by_element(spark):
+    ssc = spark.createDataFrame([(1, ["Table 1: A. B.", "We saw it. It", "held.", None, "P1 | 2. A | 3", "By", "Smith & Jones", "it is. Done."], "digital")], "input_id long, sentences array<string>, pdf_kind string")
+    sec = spark.createDataFrame([], "section_id long, body string, pdf_kind string")
+    got = sorted(s.sentence_units(s.texts(sec, ssc)).collect(), key=lambda r: r.unit)
+    assert [r.text for r in got] == ["Table 1: A. B.", "We saw it.", "It held.", "P1 | 2. A | 3", "By Smith & Jones it is.", "Done."]
+    joined = "Table 1: A. B. We saw it. It held. P1 | 2. A | 3 By Smith & Jones it is. Done."
+    assert all(joined[r.start_pos : r.end_pos] == r.text for r in got)

@@ -6,8 +6,9 @@ their quotations, and the best segmentation of the line wins. Rules decide nothi
 each contributes to a span's score.
 
 Defined results: null, empty and blank texts give no units; a line break always ends a unit; a line
-that is a bibliographic entry, a caption or a table row is one unit; a list marker belongs to its
-item; null elements of an array are left out and the others joined by one blank; very long lines
+that is a bibliographic entry, a caption or a table row is one unit, and so is such a line of an
+array's element; a list marker belongs to its item; no unit ends inside a closed quotation; null
+elements of an array are left out and the others joined by one blank; very long lines
 cost time in proportion to their length; repeated rows give their units again; extra columns aren't
 read.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,6 +53,10 @@ LONGEST_STEP = 48
 _MARKER = re.compile(r"\s*(?:\(\d{1,3}\)|\d{1,3}[.)]|\([a-zA-Z]\)|[a-zA-Z]\)|[-–—•*·‣▪])\s+(?=\S)")
 _BIB = re.compile(r"\s*\[\d{1,4}\]\s+\S.*\b(?:1[89]|20)\d\d\b.{0,4}$")
 _CAPTION = re.compile(r"\s*(?:Table|Tab\.|Figure|Fig\.|Tabelle|Abb\.|Abbildung|Tableau|Tabla|Figura|表|图|図)\s*\d+\s*[:.：]")
+_VALUE = re.compile(r"(?:[-–—]|n/a|[<>=±~≈]?\s?[-−+]?\d[\d.,]*\s?%?(?: ?± ?[\d.]+)?)\s*(?:\\\\)?")
+_ENDS_INSIDE = re.compile(r"(?:[^\W\d_]{2}|[)\]\"”])[.!?]\s+\S|[。！？।؟]\s*\S")
+_QUOTE = re.compile(r"[\"“”„«»‹›「」『』]")
+_CLOSES = {'"': '"', "“": "„", "”": "“„", "«": "»", "»": "«", "‹": "›", "›": "‹", "」": "「", "』": "『"}
 _STOP = re.compile(r"[.!?…‥⋯]+|[。！？｡]+|[।॥]+|[؟]+|[;;](?=\s|$)|(?<=[฀-๿])[  ]+(?=[฀-๿])")
 _MARKS = re.compile(r"(?:\[\d+(?:\s*[,–-]\s*\d+)*\])+|[⁰¹²³⁴-⁹]+")
 _BEFORE_WORD = frozenset(" \t\u00a0\u3000\"“”„«»‘’([（「『")
@@ -186,10 +191,59 @@ def _quotes(line: str, cuts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _closed_quotations(line: str) -> list[tuple[int, int]]:
+    """Outermost ``(start, end)`` of the quotations that are opened and closed within the line.
+
+    Straight and angle quotes open and close by the side they stand on; one that stays open pairs with nothing.
+    """
+    out, stack = [], []
+    for m in _QUOTE.finditer(line):
+        c, i = m.group(), m.start()
+        before, after = line[i - 1 : i], line[i + 1 : i + 2]
+        sided = c in '"«»‹›'
+        opens = not before or not (before.isalnum() or before in ".,;!?…%)]")
+        closes = not sided or (not after.isalnum() and not (c in '"«‹' and before.isspace()))
+        at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _CLOSES.get(c, "")), -1)
+        if at >= 0 and closes:
+            begin = stack[at][1]
+            del stack[at:]
+            while out and out[-1][0] > begin:
+                out.pop()
+            out.append((begin, i + 1))
+        elif c in "“„「『" or (sided and opens and (c in "«‹" or not after.isspace())):
+            if c == '"' and at >= 0:
+                del stack[at:]  # the one before it was never closed
+            stack.append((c, i))
+    return out
+
+
+def _row(line: str) -> bool:
+    """Whether a line is a table row: several cells, most of them short or values."""
+    for mark in ("\t", " | ", " & "):
+        cells = [c.strip() for c in line.strip().split(mark)]
+        if len(cells) < 2:
+            continue
+        short = sum(len(c.split()) <= 8 and _ENDS_INSIDE.search(c) is None for c in cells)
+        value = any(_VALUE.fullmatch(c) for c in cells[1:])
+        if mark != " & ":  # an ampersand also joins names
+            row = value or short == len(cells) or (len(cells) > 2 and 2 * short > len(cells))
+        else:
+            row = (short == len(cells) and (value or len(cells) > 2)) or (len(cells) > 2 and value and 2 * short > len(cells))
+        if row:
+            return True
+    return False
+
+
+def _whole(line: str) -> bool:
+    """Whether a line is one unit whatever it holds: a bibliographic entry, a caption or a table row."""
+    return _BIB.match(line) is not None or _CAPTION.match(line) is not None or _row(line)
+
+
 def _candidates(line: str, begin: int) -> list[tuple[int, int, float]]:
     """``(end, next start, score)`` of every place where a unit could end inside the line."""
     out, n = [], len(line)
     seen, odd = 0, 0  # parity of straight quotes up to ``seen``
+    closed, q = _closed_quotations(line), 0
     for stop in _STOP.finditer(line, begin):
         end = stop.end()
         thai = stop.group()[0] in "  "
@@ -213,6 +267,10 @@ def _candidates(line: str, begin: int) -> list[tuple[int, int, float]]:
             # French and others put a blank before the closing quote
             if end + 1 < n and line[end] in "  " and line[end + 1] in "»”›" :
                 end += 2
+        while q < len(closed) and closed[q][1] <= end:
+            q += 1
+        if q < len(closed) and closed[q][0] < end:
+            continue  # a quotation never ends the sentence around it, however much it holds
         after = end
         while after < n and line[after].isspace():
             after += 1
@@ -224,15 +282,15 @@ def _candidates(line: str, begin: int) -> list[tuple[int, int, float]]:
     return out
 
 
-def cut_line(line: str) -> list[tuple[int, int]]:
-    """Units ``(start, end)`` of one line by dynamic programming over whole spans."""
+def cut_line(line: str, rows: bool = True) -> list[tuple[int, int]]:
+    """Units ``(start, end)`` of one line by dynamic programming over whole spans; entries, captions and rows stay whole if ``rows``."""
     lead = len(line) - len(line.lstrip())
     stop = len(line.rstrip())
     if stop <= lead:
         return []
     marker = _MARKER.match(line)
     begin = marker.end() if marker else lead
-    if _BIB.match(line) or _CAPTION.match(line) or "\t" in line.strip() or " | " in line or " & " in line:
+    if rows and _whole(line):
         return [(lead, stop)]
     places = _candidates(line, begin)
     if not places:
@@ -266,20 +324,35 @@ def cut_line(line: str) -> list[tuple[int, int]]:
     return spans
 
 
-def units(text: str) -> list[tuple[int, int]]:
+def units(text: str, rows: bool = True) -> list[tuple[int, int]]:
     """Units ``(start, end)`` of a text in reading order."""
     out, at = [], 0
     for line in text.split("\n"):
-        out.extend((at + a, at + b) for a, b in cut_line(line))
+        out.extend((at + a, at + b) for a, b in cut_line(line, rows))
         at += len(line) + 1
     return out
 
 
+def joined_units(text: str, sizes: Iterable[int]) -> list[tuple[int, int]]:
+    """Units of elements of the given sizes joined by one blank; lines that are one unit are told by element."""
+    out, at, run = [], 0, 0
+    for size in sizes:
+        for line in text[at : at + size].split("\n"):
+            if _whole(line):
+                out.extend((run + a, run + b) for a, b in units(text[run:at], False))
+                out.append((at + len(line) - len(line.lstrip()), at + len(line.rstrip())))
+                run = at + len(line)
+            at += len(line) + 1
+    out.extend((run + a, run + b) for a, b in units(text[run:], False))
+    return out
+
+
 def texts(sections: DataFrame, ssc_input: DataFrame) -> DataFrame:
-    """``(src, row_id, pdf_kind, text)`` of both tables; nothing but these columns is read."""
-    bodies = sections.select(F.lit("sections").alias("src"), F.col("section_id").alias("row_id"), "pdf_kind", F.col("body").alias("text"))
-    joined = F.array_join(F.filter("sentences", lambda s: s.isNotNull()), " ")
-    lists = ssc_input.select(F.lit("ssc_input").alias("src"), F.col("input_id").alias("row_id"), "pdf_kind", joined.alias("text"))
+    """``(src, row_id, pdf_kind, text, sizes)`` of both tables, sizes of the joined elements; nothing else is read."""
+    bodies = sections.select(F.lit("sections").alias("src"), F.col("section_id").alias("row_id"), "pdf_kind", F.col("body").alias("text"), F.lit(None).cast("array<int>").alias("sizes"))
+    elements = F.filter("sentences", lambda s: s.isNotNull())
+    joined, sizes = F.array_join(elements, " "), F.transform(elements, F.char_length)
+    lists = ssc_input.select(F.lit("ssc_input").alias("src"), F.col("input_id").alias("row_id"), "pdf_kind", joined.alias("text"), sizes.alias("sizes"))
     return bodies.unionByName(lists).where(r"text IS NOT NULL AND text RLIKE '\\S'")
 
 
@@ -290,14 +363,15 @@ def _unit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = SCHEMA.replace(",", "").split()[::2]
     for pdf in batches:
         rows = []
-        for src, row_id, text in pdf.itertuples(index=False):
-            rows.extend((src, row_id, k, a, b, text[a:b]) for k, (a, b) in enumerate(units(text)))
+        for src, row_id, text, sizes in pdf.itertuples(index=False):
+            spans = units(text) if sizes is None else joined_units(text, sizes.tolist())
+            rows.extend((src, row_id, k, a, b, text[a:b]) for k, (a, b) in enumerate(spans))
         yield pd.DataFrame(rows, columns=names)
 
 
 def sentence_units(rows: DataFrame) -> DataFrame:
-    """Units of ``(src, row_id, text)`` rows; see ``SCHEMA``."""
-    return spread(rows.select("src", "row_id", "text"), "src", "row_id").mapInPandas(_unit_batches, SCHEMA)
+    """Units of ``(src, row_id, text, sizes)`` rows; see ``SCHEMA``."""
+    return spread(rows.select("src", "row_id", "text", "sizes"), "src", "row_id").mapInPandas(_unit_batches, SCHEMA)
 
 
 def found(unit_rows: DataFrame) -> DataFrame:
