@@ -1,6 +1,7 @@
 import json
 
 from vellumine.operators import nested
+from vellumine.plans import nested_queries
 
 PAGE = {"width": "612.0", "height": 792, "index": 0, "layout": {"bundles": [{"bbox": [1, 2, 3, "4"], "type": "title", "tokens": {"7": {"text": "b"}, "2": {"text": "a"}, "9": None}}], "remaining_tokens": {"text": "r"}}}
 
@@ -50,3 +51,20 @@ def test_empty_table_and_typed_nulls(spark):
     rows = spark.createDataFrame([(1, None, None), (2, "s", []), (3, "s", [None, (1.0, 1.0, 0, None)])], nested.RECORD)
     got = nested.found(nested.occurrences(nested.identified(rows, "layouts"))).collect()
     assert [tuple(r) for r in got] == [("layouts", 3, "page", 1, -1, -1)]
+
+
+def test_found_comes_from_the_stored_tables(spark, data, monkeypatch):
+    want = sorted(tuple(r) for r in nested.found(nested_queries.p6_occurrences(spark, data)).collect())
+    assert sorted(tuple(r) for r in nested_queries.p6_found(spark, data).collect()) == want
+    make = nested.bridge
+    monkeypatch.setattr(nested, "bridge", lambda occ: make(occ).where("role <> 'token'"))
+    assert sorted(tuple(r) for r in nested_queries.p6_found(spark, data).collect()) == [r for r in want if r[2] != "token"]
+
+
+def test_occurrences_are_rebuilt(spark):
+    payload = json.dumps({"pages": [None, PAGE, PAGE, {"layout": {"bundles": [None, PAGE["layout"]["bundles"][0], {"tokens": []}], "remaining_tokens": [None, {"text": "a"}]}}]})
+    raw = spark.createDataFrame([(1, payload), (2, payload)], "record_id long, payload string")
+    pages = nested.identified(nested.typed_records(raw), "raw_records")
+    tables = nested.stored(pages)
+    assert sorted(map(str, nested.rebuilt(tables["roots"], tables["bridge"]).collect())) == sorted(map(str, nested.occurrences(pages).collect()))
+    assert [tables[k].count() for k in ("roots", "pages", "bundles")] == [6, 2, 2]

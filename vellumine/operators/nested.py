@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.session import spread
+from vellumine.session import Stored, materialise, spread
 
 TOKEN = T.StructType([
     T.StructField("bbox", T.ArrayType(T.DoubleType())), T.StructField("text", T.StringType()),
@@ -262,5 +262,30 @@ def tokens_table(pages: DataFrame) -> DataFrame:
 _TOKENS = f"array<struct<id:string,value:{TOKEN.simpleString()}>>"
 
 
+def stored(pages: DataFrame) -> dict[str, DataFrame]:
+    """The related tables of identified pages, each stored: ``roots``, ``pages``, ``bundles``, ``tokens``, ``bridge``."""
+    base = Stored(pages)
+    tables = {"roots": base.df.select("src", "record_id", "page_pos", "page_id"), "pages": pages_table(base.df), "bundles": bundles_table(base.df),
+              "tokens": tokens_table(base.df), "bridge": bridge(occurrences(base.df))}
+    tables = {name: materialise(t) for name, t in tables.items()}
+    base.drop()
+    return tables
+
+
+def rebuilt(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``occurrences`` from the pages of the records and the bridge."""
+    none, place = F.lit(-1), ["src", "record_id", "page_pos"]
+    page = roots.select("src", "record_id", F.lit("page").alias("lvl"), "page_pos", none.alias("bundle_pos"), none.alias("token_pos"),
+                        F.col("page_id").alias("object_id"), F.lit(None).cast("string").alias("parent_id"))
+    below = roots.join(links.where("role <> 'token'"), F.col("page_id") == F.col("parent_id"))
+    bundle = F.col("role") == "bundle"
+    inner = below.select("src", "record_id", F.col("role").alias("lvl"), "page_pos", F.when(bundle, F.col("ordinal")).otherwise(none).alias("bundle_pos"),
+                         F.when(bundle, none).otherwise(F.col("ordinal")).alias("token_pos"), "object_id", "parent_id")
+    bundles = below.where(bundle).select(*place, F.col("ordinal").alias("bundle_pos"), F.col("object_id").alias("bundle_id"))
+    tokens = bundles.join(links.where("role = 'token'"), F.col("bundle_id") == F.col("parent_id")).select(
+        "src", "record_id", F.col("role").alias("lvl"), "page_pos", "bundle_pos", F.col("ordinal").alias("token_pos"), "object_id", "parent_id")
+    return page.unionByName(inner).unionByName(tokens)
+
+
 def found(occ: DataFrame) -> DataFrame:
     return occ.select("src", "record_id", "lvl", "page_pos", "bundle_pos", "token_pos")

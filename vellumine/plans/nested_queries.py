@@ -21,7 +21,8 @@ def p6_occurrences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.found(p6_occurrences(spark, d))
+    tables = nested.stored(_layouts(spark, d).unionByName(_raw(spark, d)))
+    return nested.found(nested.rebuilt(tables["roots"], tables["bridge"]))
 
 
 def p6_layouts(spark: SparkSession, d: str) -> DataFrame:
