@@ -3,7 +3,9 @@
 Each statistic of each language goes into a mergeable quantile sketch:
 counts over fixed cells (relative width 2 %, exact near 0), so sketches add up in any order and the
 result doesn't depend on the partitioning. A value becomes a percentile and a robust z-score against
-its language; tails of the scores, not the raw values, tell prose and headings from the rest.
+its language; tails of the scores, with raw limits beside them, tell prose and headings from junk and
+tables. Lists are found by fixed limits of the raw values alone, and a few header rules too. The
+percentiles are given out and decide nothing.
 
 Sketches have at most 700 cells a statistic and language; languages are detected from the text itself
 (scripts and common words), so their number is fixed and the lookup table is small.
@@ -191,8 +193,8 @@ def scored(stats: DataFrame, sketch: DataFrame) -> DataFrame:
 def verdicts(scores: DataFrame) -> DataFrame:
     """``verdict`` of each scored value: ``list``, ``table``, ``junk`` or null for prose and headings.
 
-    Junk lies in a tail that prose, lists and tables don't reach; tables have a tail of cells, lists
-    one of marked or of short unpunctuated lines.
+    Junk lies in a tail that prose, lists and tables don't reach; tables have a tail of cells; lists
+    have marked or short unpunctuated lines by fixed limits.
     """
     spaced = ~F.col("language").isin(*UNSPACED)
     z = {s: F.col(f"z_{s}") for s in STATS}
