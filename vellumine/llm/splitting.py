@@ -151,7 +151,9 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     at, cost = _with(natural[keep], penalty[keep], _plain(natural, n, step, max(1, step // 8)))
     reached, chosen = _best(at, cost, n, limit, overlap, ideal)
     every, price = _with(natural, penalty, _plain(natural, n, step, 1))
-    if every.size > at.size:
+    # any segmentation has at least so many cuts, and one through a blank that was left out pays for it too
+    least = PENALTY["blank"] + (-(-(n - limit) // step) - 1) * float(penalty.min(initial=PENALTY["none"]))
+    if every.size > at.size and reached > least - 1e-9:
         before = _reach(every.tolist(), price.tolist(), limit, step)
         # from the text's end: the last piece may be a whole step behind its cut
         after = _reach((n - every)[::-1].tolist(), price[::-1].tolist(), step, step)[::-1]
