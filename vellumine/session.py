@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +47,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Tables stored since the outermost ``stored_result`` began; None outside of one.
+_OPEN: ContextVar[list[Stored] | None] = ContextVar("open_tables", default=None)
+
+
 class Stored:
     """A DataFrame written to the shared folder as Parquet: lineage ends there."""
 
@@ -52,11 +59,18 @@ class Stored:
         self.path = f"{shared_dir(self.spark).rstrip('/')}/t-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(_remove, self.spark, self.path)
+        self.gone = False
+        atexit.register(self.drop)
+        made = _OPEN.get()
+        if made is not None:
+            made.append(self)
 
     def drop(self) -> None:
         """Free the space once nothing reads the table any more."""
-        _remove(self.spark, self.path)
+        if not self.gone:
+            self.gone = True
+            atexit.unregister(self.drop)
+            _remove(self.spark, self.path)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -64,6 +78,30 @@ def materialise(df: DataFrame) -> DataFrame:
     return Stored(df).df
 
 
+def stored_result(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query whose result is stored, after which all tables stored on the way are removed."""
+
+    @wraps(query)
+    def run(*args: object, **named: object) -> DataFrame:
+        mark, keep = _OPEN.set([]), None
+        try:
+            out = query(*args, **named)
+            if _OPEN.get():
+                keep = Stored(out)
+                out = keep.df
+        finally:
+            for table in _OPEN.get():
+                if table is not keep:
+                    table.drop()
+            _OPEN.reset(mark)
+        outer = _OPEN.get()
+        if keep is not None and outer is not None:
+            outer.append(keep)
+        return out
+
+    return run
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a CPU-bound Python stage enough tasks when the input has only a few splits.
 
