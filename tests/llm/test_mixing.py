@@ -76,3 +76,44 @@ def test_found_makes_the_mix(spark, data, monkeypatch):
     monkeypatch.setattr(mx, "mix", counted)
     assert queries.p8_found(spark, data).count() > 0
     assert want > 0 and seen.value == want
+
+
+def test_a_broken_draw_shows_in_the_found_rows(spark, monkeypatch):
+    sizes = mx.sized(_docs(spark))
+    targets = spark.createDataFrame([("a", 0.3, 2), ("b", 0.5, 3), ("c", 0.1, 5)], TARGETS)
+    plan = mx.quotas(sizes, targets)
+    want = {"a": "reduced", "b": "repeated", "c": "capped"}
+    assert dict(map(tuple, mx.found(mx.stored_report(mx.mix(sizes, plan), plan)).collect())) == want
+    tree = mx.hypergeometric_tree
+    monkeypatch.setattr(mx, "hypergeometric_tree", lambda blocks, slots, rng: tree([b // 2 for b in blocks], [s // 2 for s in slots], rng))
+    with_half = mx.deal
+
+    def broken(weights, shards, rng):
+        monkeypatch.undo()
+        return [x[: len(x) // 2] for x in with_half(weights, shards, rng)]
+
+    monkeypatch.setattr(mx, "deal", broken)
+    got = dict(map(tuple, mx.found(mx.stored_report(mx.mix(sizes, plan), plan)).collect()))
+    assert got["a"] == got["b"] == "unreached"
+
+
+def test_goals_are_met_within_a_thousandth_and_shards_are_even(spark, data):
+    sizes = mx.sized(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet"))
+    targets = spark.read.parquet(f"{data}/mix_targets.parquet")
+    plan = mx.quotas(sizes, targets)
+    mixed = mx.mix(sizes, plan, shards=4)
+    for r in mx.report(mixed, plan).collect():
+        if r.outcome != "capped":
+            assert abs(r.reached - r.goal) <= max(0.001 * r.goal, 40), r
+    load = [r.n for r in mixed.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(load) == 4 and max(load) - min(load) <= 0.02 * max(load)
+
+
+def test_groups_of_shards_share_like_single_shards(spark):
+    sizes = mx.sized(_docs(spark))
+    plan = mx.quotas(sizes, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], TARGETS))
+    one, two = (mx.mix(sizes, plan, shards=12, blocks=64, most_groups=g) for g in (12, 4))
+    key = ["doc_id", "source", "copy", "size"]
+    assert sorted(map(tuple, one.select(*key).collect())) == sorted(map(tuple, two.select(*key).collect()))
+    load = {r.shard: r.n for r in two.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    assert sorted(load) == list(range(12)) and max(load.values()) < 1.2 * min(load.values())

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumine.llm import mixing, ocr, packing, pii, quality, sentences, splitting, topn
+from vellumine.session import stored_result
 from vellumine.sources.tables import table
 
 
@@ -98,4 +99,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_pieces, p3_found, p3_scores, p4_found, p4_sentences, p5_found, p5_repaired, p7_found, p7_placements, p7_fill, p8_found, p8_report, p8_mix, p9_found, p9_details, p9_redacted)}
+    eager = (p3_scores, p3_found, p4_found, p4_sentences, p5_found, p5_repaired, p7_placements, p7_found, p7_fill, p8_mix, p8_report, p8_found, p9_details, p9_found, p9_redacted)
+    lazy = (p1_found, p1_units, p2_found, p2_pieces)
+    return {f.__name__: f for f in lazy} | {f.__name__: stored_result(f) for f in eager}
+
