@@ -24,7 +24,7 @@ def test_bodies(spark):
 def test_headers(spark):
     headers = ["† ‡ § ¶", "Table 7", "(cid:12)(cid:7)", "Evaluation of PinLens v2.0 (N = 19)", "4 Method", "", None, "a r X i v : 5"]
     v = _verdicts(spark, [], headers)
-    assert [v.get(("header", i)) for i in range(len(headers))] == ["junk", "junk", "junk", None, None, None, None, "junk"]
+    assert [v.get(("header", i)) for i in range(len(headers))] == ["junk", None, "junk", None, None, None, None, "junk"]
 
 
 def test_sketches_merge_and_order_dont_matter(spark):
@@ -39,6 +39,20 @@ def test_sketches_merge_and_order_dont_matter(spark):
     stats.unpersist()
 
 
+def test_verdicts_follow_the_distribution_of_their_language(spark):
+    """Lines without stops are a tail among prose, but not in a language where most texts have none."""
+    bare = "low overlay\nword-level marker; 4 items\nprior corpus\nreader v2.1"
+    assert _verdicts(spark, [bare])["body", 0] == "list"
+    rows = [(k, "body", f"{bare}\nnotebook v{k}.{k % 7}" if k % 3 else f"{PROSE} In {k} rounds.") for k in range(150)]
+    df = spark.createDataFrame(rows, "section_id long, place string, text string")
+    assert q.found(q.judged(df, COMMON)).count() == 0
+
+
+def test_table_labels_head_their_section(spark):
+    v = _verdicts(spark, [], ["Table 7", "Figure 12", "Table 3"])
+    assert set(v.values()) == {None}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "section_id long, place string, text string")
     assert q.judged(df, COMMON).count() == 0

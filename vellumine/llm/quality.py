@@ -2,17 +2,18 @@
 
 Each statistic of each language goes into a mergeable quantile sketch:
 counts over fixed cells (relative width 2 %, exact near 0), so sketches add up in any order and the
-result doesn't depend on the partitioning. A value becomes a percentile and a robust z-score against
-its language; tails of the scores, with raw limits beside them, tell prose and headings from junk and
-tables. Lists are found by fixed limits of the raw values alone, and a few header rules too. The
-percentiles are given out and decide nothing.
+result doesn't depend on the partitioning. A value becomes a robust z-score against
+its language, and the tails of the z-scores alone tell prose and headings from lists, tables and junk:
+a verdict follows when the distribution of its language shifts. What a verdict needs besides is the
+number of lines: lists and tables have one entry or row a line, so two lines or more.
 
 Sketches have at most 700 cells a statistic and language; languages are detected from the text itself
 (scripts and common words), so their number is fixed and the lookup table is small.
 
 Defined results: null, empty and blank values give no row; repeated rows count each; an empty table
 gives no rows; the given language isn't trusted; very long texts cost time in proportion to their
-length; extra columns aren't read.
+length; extra columns aren't read. A header that numbers a table or figure heads the section that
+holds it, so it is a heading.
 """
 
 from __future__ import annotations
@@ -30,26 +31,20 @@ from vellumine.session import materialise, spread
 
 #: Statistics with the smallest scale of their z-score.
 STATS = {
-    "word_count": 5.0, "mean_word": 0.5, "symbol_share": 0.02, "punct_lines": 0.1, "common_share": 0.03,
-    "cell_share": 0.04, "marker_lines": 0.1, "line_words": 2.0, "distinct_share": 0.08, "letter_share": 0.05,
+    "word_count": 5.0, "mean_word": 0.5, "longest_word": 4.0, "symbol_share": 0.02, "letter_share": 0.05, "punct_lines": 0.1, "stop_rate": 0.2,
+    "common_share": 0.03, "cell_share": 0.04, "marker_lines": 0.1, "line_words": 2.0, "line_fill": 0.06, "top_share": 0.05, "lone_letters": 0.1,
 }
 TAIL = 3.0
 _MARK = re.compile(r"^[ \t]*(?:\(\d{1,3}\)|\d{1,3}[.)]|\([a-zA-Z]\)|[a-zA-Z]\)|\[\d{1,3}\]|[-–—•*·‣▪])[ \t]+\S")
 _CELL = re.compile(r"(?:[-–—]|n/a|[<>=±~≈]|[-−+]?\d[\d.,]*(?:e-?\d+)?%?)[|&,]?")
-_SPLIT = re.compile(r"\t|[^ ] \| |[^ ] & |\S {2,}\S")
 _END = re.compile(r"[.!?。！？।؟…:;；：;][\"'”’»)\]」』]*(?:\[[\d, –-]+\])*$")
 _ORDINARY = frozenset(".,;:!?'\"()[]{}-–—…。，、！？；：“”‘’«»„।؟،؛「」『』（）〈〉《》¿¡;·")
-_VOWELS = frozenset("aeiouyäöüáéíóúàèìòùâêîôûåæœãõ")
 _SCRIPTS = (
     ("ja", re.compile("[\u3040-\u30ff]"), 0.08), ("zh", re.compile("[\u3400-\u9fff]"), 0.3), ("th", re.compile("[\u0e00-\u0e7f]"), 0.3),
     ("ar", re.compile("[\u0600-\u06ff]"), 0.3), ("hi", re.compile("[\u0900-\u097f]"), 0.3), ("el", re.compile("[\u0370-\u03ff\u1f00-\u1fff]"), 0.3),
 )
 UNSPACED = ("zh", "ja", "th")
-SCHEMA = (
-    "section_id long, place string, language string, lines double, word_count double, mean_word double, symbol_share double, punct_lines double,"
-    " common_share double, cell_share double, marker_lines double, line_words double, distinct_share double, letter_share double,"
-    " split_lines double, vowel_share double, longest_word double, line_fill double, inner_stops double, is_label boolean"
-)
+SCHEMA = "section_id long, place string, language string, lines double, " + ", ".join(f"{s} double" for s in STATS)
 
 
 def common_words(common: DataFrame) -> dict[str, frozenset[str]]:
@@ -84,14 +79,10 @@ def measure(text: str, common: dict[str, frozenset[str]]) -> tuple:
     tokens = [w.strip(".,;:!?()\"'“”«»„।؟،").lower() for w in words]
     solid = sum(map(len, words))
     chars = Counter(text)
-    letters = digits = plain = vowels = latin = 0
+    letters = digits = plain = 0
     for c, n in chars.items():
         if c.isalpha() or unicodedata.category(c)[0] == "M":
             letters += n
-            low = c.lower()
-            if low < "ɐ":
-                latin += n
-                vowels += n * (low in _VOWELS)
         elif c.isdigit():
             digits += n
         elif c in _ORDINARY:
@@ -103,19 +94,19 @@ def measure(text: str, common: dict[str, frozenset[str]]) -> tuple:
     spaced = language not in UNSPACED
     size = w if spaced else letters / 3
     widths = [len(x) for x in lines]
-    inner = len(_INNER.findall(text))
-    return (
-        language, float(n), float(w), solid / w, (solid - letters - digits - plain) / solid,
-        sum(_END.search(x) is not None for x in lines) / n, hits / max(1, w if spaced else letters),
-        sum(_CELL.fullmatch(t) is not None for t in words) / w, sum(_MARK.match(x) is not None for x in lines) / n,
-        size / n, len(set(words)) / w, letters / solid, sum(_SPLIT.search(x) is not None for x in lines) / n,
-        vowels / max(1, latin), float(max(map(len, words))),
-        sum(v >= 0.72 * max(widths) for v in widths[:-1]) / (n - 1) if n > 1 else 1.0, inner / max(1.0, size / 10), _LABEL.fullmatch(text.strip()) is not None,
-    )
-
-
-#: A number of a table or figure stands for that, not for a section.
-_LABEL = re.compile(r"(?:Table|Tab\.|Figure|Fig\.|Tabelle|Abbildung|Abb\.|Tableau|Tabla|Figura|表|図|图)\s*\d+[.:]?", re.I)
+    ended = sum(_END.search(x) is not None for x in lines)
+    most = Counter(words).most_common(1)[0][1]
+    values = {
+        "word_count": w, "mean_word": solid / w, "longest_word": max(map(len, words)), "symbol_share": (solid - letters - digits - plain) / solid,
+        "letter_share": letters / solid, "punct_lines": ended / n, "stop_rate": min(1.0, (ended + len(_INNER.findall(text))) / max(1.0, size / 10)),
+        "common_share": hits / max(1, w if spaced else letters), "cell_share": sum(_CELL.fullmatch(t) is not None for t in words) / w,
+        "marker_lines": sum(_MARK.match(x) is not None for x in lines) / n, "line_words": size / n,
+        "line_fill": sum(v >= 0.72 * max(widths) for v in widths[:-1]) / (n - 1) if n > 1 else 1.0, "top_share": (most - 1) / w,
+        "lone_letters": max(0, sum(len(x) == 1 and x.isalpha() for x in words) - 1) / w,
+    }
+    return language, float(n), *(float(values[s]) for s in STATS)
+
+
 _INNER = re.compile(r"[.!?][\"'”’»)\]]*\s+[^\W\d_]|[。！？।؟]")
 
 
@@ -171,47 +162,40 @@ def quantiles(sketch: DataFrame) -> DataFrame:
 
 
 def scored(stats: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Statistics with a robust z-score and a percentile of each against place and language."""
-    w = Window.partitionBy("place", "language", "stat").orderBy("cell")
-    all_of = Window.partitionBy("place", "language", "stat")
-    ranks = (sketch.withColumn("_r", (F.sum("n").over(w) - F.col("n") / 2) / F.sum("n").over(all_of))
-             .groupBy("place", "language", "stat").agg(F.array_sort(F.collect_list(F.struct("cell", "_r"))).alias("_c")))
-    one = quantiles(sketch).join(ranks, ["place", "language", "stat"]).select(
-        "place", "language", "stat", F.struct("median", "q1", "q3", F.col("_c.cell").alias("cells"), F.col("_c._r").alias("ranks")).alias("_q"))
+    """Statistics with a robust z-score of each against place and language."""
+    one = quantiles(sketch).select("place", "language", "stat", F.struct("median", "q1", "q3").alias("_q"))
     table = one.groupBy("place", "language").agg(*[F.max(F.when(F.col("stat") == s, F.col("_q"))).alias(f"_{s}") for s in STATS])
-    # 2 places x 10 languages, each with 10 statistics of at most 700 cells
+    # 2 places x 10 languages, each with the quartiles of 14 statistics
     out = stats.join(F.broadcast(table), ["place", "language"])
     cols = []
     for s, least in STATS.items():
         q = F.col(f"_{s}")
         scale = F.greatest(F.lit(least), (q["q3"] - q["q1"]) / 1.349)
         cols.append(F.round((F.col(s) - q["median"]) / scale, 4).alias(f"z_{s}"))
-        cols.append(F.round(F.element_at(q["ranks"], F.array_position(q["cells"], _cell(F.col(s))).cast("int")), 6).alias(f"pct_{s}"))
     return out.select(*stats.columns, *cols)
 
 
 def verdicts(scores: DataFrame) -> DataFrame:
     """``verdict`` of each scored value: ``list``, ``table``, ``junk`` or null for prose and headings.
 
-    Junk lies in a tail that prose, lists and tables don't reach; tables have a tail of cells; lists
-    have marked or short unpunctuated lines by fixed limits.
+    Every condition is a tail of z-scores, single or summed; only scripts without blanks, which have no
+    words to measure, and the number of lines are looked at beside them.
     """
     spaced = ~F.col("language").isin(*UNSPACED)
     z = {s: F.col(f"z_{s}") for s in STATS}
-    repeated = (z["distinct_share"] <= -TAIL) & (F.col("distinct_share") < 0.2) & (z["common_share"] <= -1.5)
-    stacked = spaced & (z["mean_word"] <= -TAIL) & (F.col("line_words") < 2) & (F.col("word_count") >= 6)
-    unreadable = (z["common_share"] <= -1.5) & (
-        ((z["symbol_share"] >= TAIL) & (F.col("symbol_share") >= 0.12) & (F.col("cell_share") < 0.3)) | (spaced & (z["mean_word"] >= 2 * TAIL) & (F.col("longest_word") >= 40))
-        | ((z["letter_share"] <= -2 * TAIL) & (F.col("letter_share") < 0.45) & (F.col("cell_share") < 0.3)))
-    marked = (F.col("marker_lines") >= 0.85) & (F.col("lines") >= 2)
-    cells = (z["cell_share"] >= TAIL) & (F.col("cell_share") >= 0.3) & (F.col("lines") >= 2) & (z["common_share"] <= -1.5)
-    bare = ((F.col("lines") >= 3) & (F.col("punct_lines") <= 0.1) & (F.col("inner_stops") <= 0.1) & (F.col("line_words") <= 9)
-            & (F.col("letter_share") >= 0.6) & (F.col("symbol_share") < 0.2) & (F.col("longest_word") < 60)
-            & ((F.col("line_fill") < 0.8) | (F.col("common_share") < 0.12) | (F.col("line_words") <= 4.5)))
+    word = F.when(spaced, z["mean_word"]).otherwise(0.0)
+    strange = z["common_share"] <= -TAIL / 2
+    marked = (z["marker_lines"] >= 2.6 * TAIL) & (F.col("lines") >= 2)
+    repeated = (z["top_share"] >= 4 * TAIL) & strange
+    stacked = word <= -2.5 * TAIL
+    cells = (z["cell_share"] >= 2 * TAIL) & (z["letter_share"] <= -TAIL) & (F.col("lines") >= 2)
+    entry = z["stop_rate"] + z["line_fill"] + z["common_share"] - word + z["line_words"]
+    terse = (z["stop_rate"] <= -1.3 * TAIL) & (z["common_share"] <= -0.8 * TAIL)
+    bare = (((z["stop_rate"] <= -TAIL) & (entry <= -2.1 * TAIL)) | terse) & (z["letter_share"] > -2.5 * TAIL) & (z["symbol_share"] < 4 * TAIL) & (F.col("lines") >= 3)
+    unreadable = strange & ((z["symbol_share"] >= 3 * TAIL) | (z["letter_share"] <= -2.5 * TAIL) | ((word >= 4 * TAIL) & (z["longest_word"] >= 2 * TAIL)))
     body = F.when(marked, "list").when(repeated | stacked, "junk").when(cells, "table").when(bare, "list").when(unreadable, "junk")
-    not_heading = F.col("is_label") | ((z["letter_share"] <= -0.9 * TAIL) & (F.col("letter_share") <= 0.55)) | (z["symbol_share"] >= 2 * TAIL) | (
-        spaced & (F.col("mean_word") <= 2) & (F.col("word_count") >= 4))
-    return scores.withColumn("verdict", F.when(F.col("place") == "body", body).when(not_heading, "junk"))
+    no_heading = ((z["letter_share"] <= -0.6 * TAIL) & (z["letter_share"] + word <= -1.2 * TAIL)) | (z["letter_share"] <= -0.9 * TAIL) | (z["symbol_share"] >= TAIL) | (z["lone_letters"] >= TAIL)
+    return scores.withColumn("verdict", F.when(F.col("place") == "body", body).when(no_heading, "junk"))
 
 
 def judged(values: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
