@@ -77,3 +77,52 @@ def test_family_names_that_were_not_learned():
     assert found("Later on Mira Dunmarrow wrote to Rose Tarn-Hollow again.") == [("name", "Mira Dunmarrow"), ("name", "Rose Tarn-Hollow")]
     for text in ("Will Dunmarrow stay?", "It ended. Rose Garden was next.", "in the May Workshop", "As of May This year", "SEE WILL OTHERS"):
         assert found(text) == [], text
+
+
+def test_marginals_equal_enumeration():
+    import math
+
+    rng = random.Random(4)
+    for _ in range(40):
+        spans = [(a, a + rng.randint(1, 8), "name", {}) for a in (rng.randint(0, 20) for _ in range(rng.randint(1, 7)))]
+        scores = [rng.uniform(-2, 2) for _ in spans]
+        total, mass = 0.0, [0.0] * len(spans)
+        for mask in range(1 << len(spans)):
+            pick = sorted((k for k in range(len(spans)) if mask >> k & 1), key=lambda k: spans[k][:2])
+            if all(spans[x][1] <= spans[y][0] for x, y in zip(pick, pick[1:], strict=False)):
+                weight = math.exp(sum(scores[k] for k in pick))
+                total += weight
+                for k in pick:
+                    mass[k] += weight
+        got, z = pii.marginals(spans, scores)
+        assert abs(z - math.log(total)) < 1e-9 and all(abs(g - m / total) < 1e-9 for g, m in zip(got, mass, strict=True))
+
+
+def test_training_moves_weights_and_generalises_to_other_templates(monkeypatch):
+    weights = pii.trained()
+    assert sum(abs(weights[k] - v) > 0.3 for k, v in pii.PRIORS.items()) > 15
+    lex, every = pii.Lexicon(pii._TRAIN_GIVEN, pii._TRAIN_FAMILY), pii._TRAIN
+    monkeypatch.setattr(pii, "_TRAIN", every[::2])
+    half = pii.fit(pii.training_rows(480, seed=3), lex, pii.PRIORS)
+    monkeypatch.setattr(pii, "_TRAIN", every[1::2])
+    hits = wrong = missed = 0
+    for text, gold in pii.training_rows(480, seed=4):
+        got, gold = set(pii.find(text, lex, half)), set(gold)
+        hits, wrong, missed = hits + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
+    assert 2 * hits / (2 * hits + wrong + missed) >= 0.95
+
+
+def test_several_ends_of_one_start():
+    assert found("By Mira Quellard Okonveda today.") == [("name", "Mira Quellard Okonveda")]
+    assert found("By Mira Quellard Although it rained.") == [("name", "Mira Quellard")]
+
+
+def test_more_names_than_are_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "By Mira Okonveda and Zed Okonveda."), (2, "By Rose Okonveda; Zed Quellard"), (3, "Will Quellard, Rose Quellard, Zed Arkwell, Mira Arkwell, Rose Arkwell; ZED ARKWELL; Zed Tam-Arkwell"), (4, None), (5, "")], "doc_id long, text string")
+    given = spark.createDataFrame([("Mira",), ("Rose",), ("Will",)], "given_name string")
+    lex = pii.name_lexicon(docs, given)
+    monkeypatch.setattr(pii, "LEXICON_LIMIT", 2)
+    table = pii.name_lexicon(docs, given)
+    assert isinstance(lex, pii.Lexicon) and not isinstance(table, pii.Lexicon)
+    for f in (pii.details, pii.redacted):
+        assert sorted(map(str, f(docs, table).collect())) == sorted(map(str, f(docs, lex).collect()))
