@@ -53,6 +53,13 @@ def test_salted_hot_group_gives_the_same(spark):
     assert sorted(r.pred_id for r in topn.top_predictions(df, 5, unit_rows=40).collect()) == _brute(rows, 5)
 
 
+def test_more_hot_groups_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topn, "MOST_HOT", 0)
+    rows = _rows(900, 11)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.pred_id for r in topn.top_predictions(df, 5, unit_rows=40).collect()) == _brute(rows, 5)
+
+
 def test_empty_identical_scores_and_large_ids(spark):
     assert topn.top_predictions(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [((1 << 60) + k, "p", 0, "Result", 0.5, None, "s", 1) for k in range(300)] + [(-5, "p", 0, "Result", 0.5, None, "s", 1), (None, "p", 0, "Result", 0.9, None, "s", 1)]

@@ -5,9 +5,10 @@ a pass counts each group's rows above the midpoints of its interval, all groups
 the crossing cell are taken, rows below it are dropped, only the rows of the crossing cell go into
 the next pass. The passes end when every group holds exactly N.
 
-Groups are never gathered: a group with more rows than ``unit_rows`` (or a 20,000th of all rows) is
-salted into units, every unit is bisected by itself, and the units' winners are bisected once more.
-The list of such groups has at most 20,000 entries by the pigeonhole principle, so it's broadcast.
+Groups are never gathered: a group with more rows than ``unit_rows`` is salted into units, every unit is
+bisected by itself, and the units' winners are bisected once more. The table of such groups is broadcast
+up to ``MOST_HOT`` entries; a longer one is joined with rows that are spread over ``SPREAD`` copies of it,
+so that no group's rows meet in one task.
 
 Defined results: rows without identifier, group or score, and scores that are NaN or outside 0..1,
 take no part; a missing position comes after all others; of repeated rows with one identifier the
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from vellumine.session import Stored
 
 CELLS = 64
-UNIT_ROWS = 1_000_000
+UNIT_ROWS = 250_000
 MOST_HOT = 20_000
+SPREAD = 64
 CODES = ("c0", "c1", "c2", "c3")
 
 
@@ -121,19 +123,26 @@ def top_n(rows: DataFrame, n: int = 5, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """
     coded = _coded(rows)
     sizes = rows.groupBy("paper_id", "label").agg(F.count("*").alias("rows"))
-    total = rows.count()
-    hot = sizes.where(F.col("rows") > max(unit_rows, total // MOST_HOT)).withColumn(
-        "salts", F.ceil(F.col("rows") / unit_rows).cast("int")).drop("rows")
-    units = [r.asDict() for r in hot.collect()] if total > unit_rows else []
-    if not units:
+    hot = Stored(sizes.where(F.col("rows") > unit_rows).select("paper_id", "label", F.ceil(F.col("rows") / unit_rows).cast("int").alias("salts")))
+    entries = hot.df.count()
+    if not entries:
         return bisect(coded, ["paper_id", "label"], n).select("paper_id", "label", "pred_id")
-    known = rows.sparkSession.createDataFrame([(u["paper_id"], u["label"], u["salts"]) for u in units], "paper_id string, label string, salts int")
-    salted = coded.join(F.broadcast(known), ["paper_id", "label"], "left").withColumn(
-        "salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("pred_id"), F.col("salts")).cast("int")))
-    first = bisect(salted.drop("salts"), ["paper_id", "label", "salt"], n)
-    first = first.join(F.broadcast(known), ["paper_id", "label"], "left")
-    again = bisect(first.where("salts IS NOT NULL").drop("salts", "salt"), ["paper_id", "label"], n)
-    return first.where("salts IS NULL").select("paper_id", "label", "pred_id").unionByName(again.select("paper_id", "label", "pred_id"))
+    first = bisect(_salted(coded, hot.df, entries), ["paper_id", "label", "salt"], n)
+    # a unit's number is 0 for groups that were not split
+    again = bisect(first.where("salt > 0").drop("salt"), ["paper_id", "label"], n)
+    return first.where("salt = 0").select("paper_id", "label", "pred_id").unionByName(again.select("paper_id", "label", "pred_id"))
+
+
+def _salted(coded: DataFrame, hot: DataFrame, entries: int) -> DataFrame:
+    """Rows with their unit in ``salt``: from 1 on in the groups of ``hot``, 0 in all others."""
+    keys = ["paper_id", "label"]
+    if entries <= MOST_HOT:
+        joined = coded.join(F.broadcast(hot), keys, "left")
+    else:
+        copies = hot.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        joined = coded.withColumn("_copy", F.pmod(F.xxhash64(F.lit(3), "pred_id"), F.lit(SPREAD)).cast("int")).join(copies, [*keys, "_copy"], "left").drop("_copy")
+    salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("pred_id"), F.col("salts")).cast("int") + 1)
+    return joined.withColumn("salt", salt).drop("salts")
 
 
 def top_predictions(preds: DataFrame, n: int = 5, unit_rows: int = UNIT_ROWS) -> DataFrame:
