@@ -68,3 +68,10 @@ def test_occurrences_are_rebuilt(spark):
     tables = nested.stored(pages)
     assert sorted(map(str, nested.rebuilt(tables["roots"], tables["bridge"]).collect())) == sorted(map(str, nested.occurrences(pages).collect()))
     assert [tables[k].count() for k in ("roots", "pages", "bundles")] == [6, 2, 2]
+
+
+def test_records_keep_their_paper(spark):
+    payloads = [json.dumps({"paper_sha": "ab", "pages": [PAGE, None]}), json.dumps({"data": {"paper_sha": 7, "pages": {}}}), "{", None]
+    raw = spark.createDataFrame(list(enumerate(payloads)), "record_id long, payload string")
+    got = sorted(map(tuple, nested.records_table(nested.typed_records(raw), "raw_records").collect()))
+    assert got == [("raw_records", 0, "ab", 1), ("raw_records", 1, "7", 0), ("raw_records", 2, None, 0)]

@@ -169,7 +169,7 @@ def _canonical(kind: str, fields: list[Column]) -> Column:
     for f in fields:
         s = f.cast("string")
         parts.append(F.coalesce(F.concat(F.char_length(s).cast("string"), F.lit(":"), s), F.lit("~")))
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)  # 128 bits
 
 
 def _numbers(box: Column) -> Column:
@@ -240,6 +240,12 @@ def bridge(occ: DataFrame) -> DataFrame:
     return occ.where("parent_id IS NOT NULL").select("parent_id", "object_id", F.col("lvl").alias("role"), ordinal.alias("ordinal")).distinct()
 
 
+def records_table(records: DataFrame, src: str) -> DataFrame:
+    """One row per record ``(src, record_id, paper_sha, pages)`` with its non-null pages counted; the bond to its paper."""
+    pages = F.coalesce(F.size(F.filter("pages", lambda p: p.isNotNull())), F.lit(0))
+    return records.select(F.lit(src).alias("src"), "record_id", "paper_sha", F.greatest(pages, F.lit(0)).alias("pages"))
+
+
 def pages_table(pages: DataFrame) -> DataFrame:
     """One row per page identity."""
     return pages.select("page_id", "width", "height", "index").dropDuplicates(["page_id"])

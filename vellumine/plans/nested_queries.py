@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumine.operators import nested
+from vellumine.session import stored_result
 from vellumine.sources.tables import table
 
 
@@ -45,7 +46,17 @@ def p6_pages(spark: SparkSession, d: str) -> DataFrame:
     return nested.pages_table(_layouts(spark, d).unionByName(_raw(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_occurrences, p6_layouts, p6_bridge, p6_tokens, p6_bundles, p6_pages)}
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    layouts, raw = table(spark, d, "layouts"), nested.typed_records(table(spark, d, "raw_records"))
+    return nested.records_table(layouts, "layouts").unionByName(nested.records_table(raw, "raw_records"))
+
+
+def p6_layout_records(spark: SparkSession, d: str) -> DataFrame:
+    return nested.records_table(table(spark, d, "layouts"), "layouts")
+
+
+QUERIES = {f.__name__: f for f in (p6_occurrences, p6_layouts, p6_bridge, p6_tokens, p6_bundles, p6_pages, p6_records, p6_layout_records)}
+QUERIES["p6_found"] = stored_result(p6_found)
 
 SQL = {
     "p6_layouts": """
@@ -57,4 +68,5 @@ SELECT 'layouts' AS src, record_id, 'page' AS lvl, i AS page_pos, -1 AS bundle_p
 UNION ALL SELECT 'layouts', record_id, 'bundle', i, j, -1 FROM b WHERE bundle IS NOT NULL
 UNION ALL SELECT 'layouts', record_id, 'token', i, j, k FROM t WHERE token IS NOT NULL
 UNION ALL SELECT 'layouts', record_id, 'remaining', i, -1, k FROM r WHERE token IS NOT NULL""",
+    "p6_layout_records": "SELECT 'layouts' AS src, record_id, paper_sha, CAST(coalesce(len(list_filter(pages, lambda p: p IS NOT NULL)), 0) AS INTEGER) AS pages FROM layouts",
 }
