@@ -112,3 +112,22 @@ def test_rows_and_captions_by_element(spark):
     assert [r.text for r in got] == ["Table 1: A. B.", "We saw it.", "It held.", "P1 | 2. A | 3", "By Smith & Jones it is.", "Done."]
     joined = "Table 1: A. B. We saw it. It held. P1 | 2. A | 3 By Smith & Jones it is. Done."
     assert all(joined[r.start_pos : r.end_pos] == r.text for r in got)
+
+
+def test_unspaced_text_takes_time_in_proportion():
+    import time
+
+    for text in ("ab.Cd" * 200_000, "字a.B" * 100_000, "1. A " * 100_000, "x" * 500_000 + ".Y" * 1000):
+        began = time.perf_counter()
+        spans = s.units(text)
+        assert time.perf_counter() - began < 20 and spans[0][0] == 0 and spans[-1][1] == len(text.rstrip())
+
+
+def test_openers_are_learned_from_line_starts(spark):
+    rows = [(k, "Zebras run far. They stop.\nZebras and men met Quellard there.\nQuellard saw it.") for k in range(20)]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    got = s.openers(df)
+    assert "zebras" in got and "quellard" not in got and "the" in got
+    assert s.openers(df.limit(0)) == s.OPENERS
+    line = "All of the images of the second session were shown again to group B. Zebras run as far as they can in a day."
+    assert len(s.units(line, True, got)) == 2 and len(s.units(line)) == 1

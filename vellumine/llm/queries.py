@@ -12,12 +12,13 @@ from vellumine.sources.tables import table
 
 
 def p1_units(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(sentences.texts(table(spark, d, "sections"), table(spark, d, "ssc_input")))
+    rows = sentences.texts(table(spark, d, "sections"), table(spark, d, "ssc_input"))
+    return sentences.sentence_units(rows, sentences.openers(rows))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = sentences.texts(table(spark, d, "sections"), table(spark, d, "ssc_input")).where("pdf_kind = 'digital'")
-    return sentences.found(sentences.sentence_units(rows))
+    rows = sentences.texts(table(spark, d, "sections"), table(spark, d, "ssc_input"))
+    return sentences.found(sentences.sentence_units(rows.where("pdf_kind = 'digital'"), sentences.openers(rows)))
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
