@@ -72,9 +72,11 @@ ORDER: tuple[tuple[str, Callable[[DataFrame], DataFrame]], ...] = (
 
 
 def all_facets(sentences: DataFrame) -> DataFrame:
-    """All detectors from one pass over the sentences; only Method, which ranks, shuffles.
+    """All detectors from one pass over the sentences.
 
-    A sentence is read once and gives a row for each detector that fires.
+    A sentence is read once and gives a row for each detector that fires. Method takes the first author
+    sentence of a block: where the sentences carry ``first_we``, that sentence's number in the block, nothing
+    is shuffled; else the sentences are ranked.
     """
     low = F.lower("text")
     conclude = F.when(lx.matches(low, "conclude"), 1.0).when(lx.matches(low, "suggest", "thus", "likely", "because"), 0.5)
@@ -84,13 +86,16 @@ def all_facets(sentences: DataFrame) -> DataFrame:
         ("Objective", lx.matches(low, "aim", "question") | lx.matches(low, "investigate"), None),
         ("Result", lx.matches(low, "observe"), None), ("Conclusion", conclude.isNotNull(), conclude),
         ("Future Work", lx.matches(low, "will", "need", "future"), None)]
+    known = "first_we" in sentences.columns
+    if known:
+        rules.append(("Method", F.col("sent_id") == F.col("first_we"), None))
     fired = F.array(*[F.when(rule, F.struct(
         F.lit(label).alias("label"), (F.lit(None).cast("double") if prob is None else prob).alias("prob"),
         (F.lit(None).cast("string") if label == "Author" else F.col("section")).alias("section"),
         (F.lit(True) if label == "Author" else tx.expected_section(F.col("section"), label)).alias("expected"))) for label, rule, prob in rules])
     rows = sentences.withColumn("f", F.explode(F.filter(fired, lambda x: x.isNotNull()))).select(
         "paper_id", "block_id", "sent_id", "text", "f.label", "f.section", "f.prob", lx.matches(low, "we").alias("is_author_statement"), F.col("f.expected").alias("is_in_expected_section"))
-    return rows.unionByName(method(sentences))
+    return rows if known else rows.unionByName(method(sentences))
 
 
 def selected_units(preds: DataFrame, chosen: DataFrame) -> DataFrame:

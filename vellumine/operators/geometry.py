@@ -87,13 +87,22 @@ def assign(tokens: DataFrame, blocks: DataFrame, pick: str = "first", order: str
 def nearest(points: DataFrame, known: DataFrame, value: str, limit: float = 50.0) -> DataFrame:
     """``value`` of the nearest known token of the page by city-block distance of centres.
 
-    Ties go to the lower ``token_id``; beyond ``limit`` the value is empty; without any known it's null.
+    Ties go to the lower ``token_id``; beyond ``limit`` the value is empty; a page without any known token
+    gives no rows. Tokens meet only those of their own and the neighbouring cells of the page, whose side
+    is ``limit``.
     """
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c) / limit)
+
     k = known.select(*PAGE, F.col("token_id").alias("_k"), centre("x").alias("_kx"), centre("y").alias("_ky"), F.col(value).alias("_v"))
     p = points.select(*PAGE, "token_id", centre("x").alias("_px"), centre("y").alias("_py"))
+    around = F.explode(F.array(*[F.struct((cell("_px") + i).alias("cx"), (cell("_py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    near = p.withColumn("_c", around).select(*PAGE, "token_id", "_px", "_py", F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy"))
     distance = F.abs(F.col("_px") - F.col("_kx")) + F.abs(F.col("_py") - F.col("_ky"))
-    best = p.join(k, PAGE).groupBy(*PAGE, "token_id").agg(F.min(F.struct(distance.alias("d"), F.col("_k"), F.col("_v"))).alias("_m"))
-    return best.select(*PAGE, "token_id", F.when(F.col("_m.d") > limit, "").otherwise(F.col("_m._v")).alias(value))
+    pairs = near.join(k.withColumn("_cx", cell("_kx")).withColumn("_cy", cell("_ky")), [*PAGE, "_cx", "_cy"]).where(distance <= limit)
+    best = pairs.groupBy(*PAGE, "token_id").agg(F.min(F.struct(distance.alias("d"), F.col("_k"), F.col("_v"))).alias("_m"))
+    out = p.select(*PAGE, "token_id").join(k.select(*PAGE).distinct(), PAGE, "left_semi").join(best, [*PAGE, "token_id"], "left")
+    return out.select(*PAGE, "token_id", F.when(F.col("_m").isNull(), "").otherwise(F.col("_m._v")).alias(value))
 
 
 def rows(tokens: DataFrame) -> DataFrame:

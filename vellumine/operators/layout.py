@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import clean_font
@@ -169,3 +169,55 @@ def mask_pixels(tokens: DataFrame, cell: float = 4.0) -> DataFrame:
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell).cast("int"), F.floor(F.col(b) / cell).cast("int")))
     t = tokens.where("x2 >= x1 AND y2 >= y1 AND type IS NOT NULL").select(*PAGE, "token_id", "type", "y1", "y2", span("x1", "x2").alias("px"))
     return t.select(*PAGE, "token_id", "type", "px", span("y1", "y2").alias("py")).groupBy(*PAGE, "px", "py").agg(F.max_by("type", "token_id").alias("type"))
+
+
+def near_words(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(word, near)``: different words of two vocabularies within one edit.
+
+    Words within one edit share the word itself or the word less one character, so both sides meet on these
+    keys instead of each with all; the distance then decides.
+    """
+    def keyed(words: DataFrame, name: str) -> DataFrame:
+        n = F.char_length("word")
+        short = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, n)))
+        return words.where(n > 0).withColumn("_key", F.explode(F.array_distinct(F.concat(F.array("word"), short)))).withColumnRenamed("word", name)
+
+    pairs = keyed(a, "word").join(keyed(b, "near"), "_key").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near") <= 1))
+    return pairs.select("word", "near").distinct()
+
+
+def coco_tables(pages: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images, annotations and categories of an annotation set, from pages and their typed blocks."""
+    number = F.col("record_id") * 1000 + F.col("page_pos")
+    images = pages.select(number.alias("image_id"), F.concat_ws("", F.col("record_id").cast("string"), F.lit("_"), F.col("page_pos").cast("string"), F.lit(".jpg")).alias("file_name"), "width", "height")
+    names = blocks.where("type IS NOT NULL").select(F.col("type").alias("name")).distinct()
+    # a handful of categories: the window is as small as their list
+    categories = names.withColumn("category_id", F.row_number().over(Window.orderBy("name")))
+    rows = blocks.join(F.broadcast(categories), blocks["type"] == categories["name"])
+    annotations = rows.select(number.alias("image_id"), "block_id", "category_id", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    return images, annotations, categories
+
+
+def coco_blocks(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """Annotations with the file and size of their image and the name of their category."""
+    named = annotations.join(F.broadcast(categories), "category_id")
+    return named.join(images, "image_id").select("file_name", "width", "height", F.col("name").alias("category"), "block_id", "x", "y", "w", "h")
+
+
+def true_blocks_typed(blocks: DataFrame, tokens: DataFrame, skipped: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Blocks and tokens where true blocks are typed by a classifier of their tokens.
+
+    ``tokens`` has ``parent`` and the detected ``type``. A figure and its tokens stay a figure; the first
+    ``skipped`` tokens of a caption, its label, aren't asked and take the type of the next; a block takes the
+    type of its first token. A block without an answer keeps its own type.
+    """
+    w = Window.partitionBy(*PAGE, "parent").orderBy("token_id")
+    own = tokens.where("parent IS NOT NULL").join(blocks.select(*PAGE, F.col("block_id").alias("parent"), F.col("type").alias("_block")), [*PAGE, "parent"])
+    own = own.withColumn("_k", F.row_number().over(w) - 1)
+    caption = F.col("_block").eqNullSafe(F.lit("caption"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    answer = F.max(F.when(F.col("_k") == skipped, F.col("type"))).over(whole)
+    typed = F.when(F.col("_block").eqNullSafe(F.lit("figure")), F.lit("figure")).when(caption & (F.col("_k") < skipped), answer).otherwise(F.col("type"))
+    out = own.select(*PAGE, "parent", "token_id", typed.alias("type"))
+    first = out.groupBy(*PAGE, "parent").agg(F.min_by(F.struct("type"), "token_id").alias("t")).select(*PAGE, F.col("parent").alias("block_id"), F.col("t.type").alias("_new"))
+    return blocks.join(first, [*PAGE, "block_id"], "left").withColumn("type", F.coalesce("_new", "type")).drop("_new"), out

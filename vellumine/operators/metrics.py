@@ -59,15 +59,17 @@ def class_weights(labels: DataFrame, label: str) -> DataFrame:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, in one row of memory."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            keep = row[j + 1]
-            row[j + 1] = last + 1 if x == y else max(keep, row[j])
-            last = keep
-    return row[-1]
+    """Length of the longest common subsequence; a whole row of the table is one integer, a bit a place of ``a``."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & places.get(y, 0)
+        if hit:
+            row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def rouge_l_score(candidate: str | None, references: list[str | None], beta: float = 1.2) -> float:
@@ -93,3 +95,16 @@ def rouge_l(rows: DataFrame, keys: list[str], candidate: str, references: str, b
             yield out
 
     return rows.select(*keys, candidate, references).mapInPandas(batches, schema)
+
+
+def beside_truth(truth: DataFrame, predictors: dict[str, DataFrame], keys: list[str], missing: str) -> DataFrame:
+    """``(keys, gt, predictor, pred)``: each predictor's label of each true item; ``missing`` where it has none.
+
+    The predictors are stacked first, so the truth is read for one join however many there are.
+    """
+    stacked = None
+    for name, rows in predictors.items():
+        part = rows.select(*keys, F.lit(name).alias("predictor"), "pred")
+        stacked = part if stacked is None else stacked.unionByName(part)
+    wanted = truth.select(*keys, "gt", F.explode(F.array(*[F.lit(n) for n in predictors])).alias("predictor"))
+    return wanted.join(stacked, [*keys, "predictor"], "left").select(*keys, "gt", "predictor", F.coalesce("pred", F.lit(missing)).alias("pred"))

@@ -37,6 +37,27 @@ def apply(rows: DataFrame, scorer: Scorer, schema: str, needs: tuple[str, ...])
     return rows.select(*needs).mapInPandas(scorer, schema)
 
 
+def tolerant(scorer: Scorer, keys: tuple[str, ...], empty: dict[str, object]) -> Scorer:
+    """A scorer whose errors give rows with the item's ``keys`` and ``empty`` values instead of ending the job.
+
+    A batch that fails is asked again item by item, so only the items that cause the error are without an answer.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            try:
+                yield from list(scorer(iter([pdf])))
+            except Exception:
+                for k in range(len(pdf)):
+                    one = pdf.iloc[k : k + 1]
+                    try:
+                        yield from list(scorer(iter([one])))
+                    except Exception:
+                        yield one[list(keys)].assign(**{name: [value] for name, value in empty.items()})
+
+    return run
+
+
 def stub_sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Softmax scores from a hash of each sentence."""
     for pdf in batches:
@@ -50,12 +71,14 @@ def stub_sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def classify_sentences(ssc_input: DataFrame, scorer: Scorer = stub_sentences) -> DataFrame:
     """``(input_id, rank, sentence, label, prob)``: best class of each sentence, ordered by the score vectors.
 
-    Null sentences take no part; an item without sentences gives no rows.
+    Null sentences take no part; an item without sentences gives no rows; a sentence for which the scorer
+    fails has neither label nor probability and comes last.
     """
+    scorer = tolerant(scorer, ("input_id", "pos", "sentence"), {"scores": None})
     rows = ssc_input.select("input_id", F.posexplode("sentences").alias("pos", "sentence")).where("sentence IS NOT NULL")
     s = apply(rows, scorer, SSC_SCHEMA, ("input_id", "pos", "sentence"))
     names = F.array(*[F.lit(c) for c in CLASSES])
-    w = Window.partitionBy("input_id").orderBy(F.col("scores").desc(), "pos")
+    w = Window.partitionBy("input_id").orderBy(F.col("scores").desc_nulls_last(), "pos")
     return s.select("input_id", (F.row_number().over(w) - 1).alias("rank"), "sentence", F.get(names, rk.argmax(F.col("scores"))).alias("label"), F.round(F.array_max("scores"), 6).alias("prob"))
 
 

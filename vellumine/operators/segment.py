@@ -2,52 +2,91 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumine.session import spread
 
-CELL = 512
 #: Sentences that cover a text without gaps.
 COVERING = r"[^.!?]*[.!?]+|[^.!?]+$"
 
 
+WORD = r"[^\s]+"
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def running_ends(lengths: pd.Series) -> pd.Series:
+    """Running sums of an array of lengths."""
+    return lengths.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64))
+
+
 def words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, token_id, token)``: the words between white space."""
     rows = spread(df.select(key, text), key)
-    return rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0))).alias("token_id", "token"))
+    return rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("token_id", "token"))
+
+
+def char_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, token_id, token, start, end)``: words with their place in the text joined by single blanks.
+
+    Only the words' lengths leave the JVM; the sums are taken inside the row, so nothing is shuffled.
+    """
+    rows = spread(df.select(key, text), key).select(key, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
+    rows = rows.withColumn("_e", running_ends(F.transform("_w", lambda w: F.char_length(w) + 1)))
+    out = rows.select(key, F.posexplode(F.arrays_zip("_w", "_e")).alias("token_id", "x"))
+    return out.select(key, "token_id", F.col("x._w").alias("token"), (F.col("x._e") - 1 - F.char_length("x._w")).alias("start"), (F.col("x._e") - 1).alias("end"))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _sentence_of(words_: pd.Series, sentences: pd.Series) -> pd.Series:
+    """Number of each word's sentence, from the lengths of both: least overhang, the first of equals."""
+
+    def one(w: np.ndarray | None, s: np.ndarray | None) -> np.ndarray | None:
+        if w is None or s is None or not len(s):
+            return None if w is None else np.full(len(w), -1, dtype=np.int32)
+        end = np.cumsum(w, dtype=np.int64) - 1
+        start, last = end - (np.asarray(w) - 1), np.cumsum(s, dtype=np.int64)
+        first = last - np.asarray(s)
+        low, high = np.searchsorted(last, start, side="right"), np.searchsorted(first, end, side="left") - 1
+        out = np.where(low > high, -1, low).astype(np.int32)
+        for k in np.flatnonzero(high > low):  # a word in several sentences
+            cost = np.maximum(first[low[k] : high[k] + 1] - start[k], 0) + np.maximum(end[k] - last[low[k] : high[k] + 1], 0)
+            out[k] = low[k] + int(cost.argmin())
+        return out
+
+    return pd.Series([one(w, s) for w, s in zip(words_, sentences, strict=True)])
+
+
+def sentence_lengths(words_: Column) -> Column:
+    """Lengths of the covering sentences of words joined by single blanks."""
+    return F.transform(F.regexp_extract_all(F.array_join(words_, " "), F.lit(COVERING), F.lit(0)), lambda s: F.char_length(s))
 
 
-def char_spans(tokens: DataFrame, key: str) -> DataFrame:
-    """``start`` and ``end`` of each token in the text joined by single blanks."""
-    w = Window.partitionBy(key).orderBy("token_id").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.char_length("token")
-    return tokens.withColumn("end", F.sum(n + 1).over(w) - 1).withColumn("start", F.col("end") - n)
+def sentence_numbers(words_: Column) -> Column:
+    """The number of the sentence of each of the words, which are joined by single blanks; -1 where there is none."""
+    return _sentence_of(F.transform(words_, lambda w: F.char_length(w) + 1), sentence_lengths(words_))
 
 
-def sentence_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, sent_id, start, end)`` of covering sentences of the text joined by single blanks."""
-    joined = F.array_join(F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0)), " ")
-    pieces = F.regexp_extract_all(joined, F.lit(COVERING), F.lit(0))
-    rows = spread(df.select(key, text), key).select(key, F.posexplode(F.transform(pieces, lambda s: F.char_length(s))).alias("sent_id", "n"))
-    w = Window.partitionBy(key).orderBy("sent_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("end", F.sum("n").over(w)).withColumn("start", F.col("end") - F.col("n")).drop("n")
+def tokens_to_sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, token_id, sent_id)``: each word's sentence, found inside the row without a join."""
+    rows = spread(df.select(key, text), key).select(key, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("_w"))
+    return rows.select(key, F.posexplode(sentence_numbers(F.col("_w"))).alias("token_id", "sent_id")).where("sent_id >= 0")
 
 
-def tokens_to_sentences(tokens: DataFrame, sentences: DataFrame, key: str) -> DataFrame:
-    """Each token's sentence: least overhang, the first of equals.
+def sentence_boxes(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, sent_id, row_id, box)``: the union box of each sentence's tokens in each row it runs over.
 
-    Only overlapping pairs matter. Both sides are put into cells of the text, so the join compares
-    neighbours instead of all sentences of a text with all its tokens.
+    ``tokens`` has ``keys``, ``token_id``, ``text``, ``row_id`` and a box; a page's tokens, which are bounded, are
+    gathered into one row and their sentences found inside it.
     """
-    def cells(end: Column) -> Column:
-        return F.explode(F.sequence(F.expr(f"start div {CELL}"), F.expr(f"(`end` - 1) div {CELL}")))
-
-    t = tokens.select(key, "token_id", F.col("start"), F.col("end")).withColumn("_cell", cells(F.col("end")))
-    s = sentences.select(key, "sent_id", "start", "end").withColumn("_cell", cells(F.col("end"))).select(key, "_cell", "sent_id", F.col("start").alias("_ss"), F.col("end").alias("_se"))
-    cost = F.greatest(F.col("_ss") - F.col("start"), F.lit(0)) + F.greatest(F.col("end") - F.col("_se"), F.lit(0))
-    pairs = t.join(s, [key, "_cell"]).where("start < _se AND `end` > _ss")
-    return pairs.groupBy(key, "token_id").agg(F.min(F.struct(cost.alias("cost"), "sent_id")).alias("m")).select(key, "token_id", F.col("m.sent_id").alias("sent_id"))
+    box = ("x1", "y1", "x2", "y2")
+    rows = tokens.where("text IS NOT NULL AND text <> ''").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("token_id", "text", "row_id", *box))).alias("t"))
+    rows = rows.withColumn("n", sentence_numbers(F.transform("t", lambda x: x["text"])))
+    flat = rows.select(*keys, F.explode(F.arrays_zip("t", "n")).alias("x")).select(*keys, F.col("x.n").alias("sent_id"), "x.t.row_id", *[f"x.t.{c}" for c in box]).where("sent_id >= 0")
+    return flat.groupBy(*keys, "sent_id", "row_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
 def islands(df: DataFrame, key: str, number: str) -> DataFrame:

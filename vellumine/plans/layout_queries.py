@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellumine.operators import geometry as g
 from vellumine.operators import layout as lo
 from vellumine.operators import segment as sg
+from vellumine.operators import sequence as sq
 from vellumine.plans import sqlviews as v
 from vellumine.sources import canonical
 from vellumine.sources.tables import table
@@ -189,13 +190,12 @@ sspans AS (SELECT doc_id, sent_id, sum(length(s)) OVER (PARTITION BY doc_id ORDE
 
 @query(f'{_WORDS} SELECT doc_id, token_id, end_ - n AS start, end_ AS "end" FROM spans')
 def token_char_spans(spark: SparkSession, d: str) -> DataFrame:
-    return sg.char_spans(sg.words(table(spark, d, "documents"), "doc_id"), "doc_id").select("doc_id", "token_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return sg.char_spans(table(spark, d, "documents"), "doc_id").select("doc_id", "token_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 @query(f"{_WORDS}, {_SENT}, c AS (SELECT t.doc_id, t.token_id, s.sent_id, greatest(s.se - s.n - (t.end_ - t.n), 0) + greatest(t.end_ - s.se, 0) AS cost FROM spans t JOIN sspans s ON s.doc_id = t.doc_id AND t.end_ - t.n < s.se AND t.end_ > s.se - s.n) SELECT doc_id, token_id, arg_min(sent_id, cost * 1000000 + sent_id) AS sent_id FROM c GROUP BY 1, 2")
 def token_to_sentence(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return sg.tokens_to_sentences(sg.char_spans(sg.words(docs, "doc_id"), "doc_id"), sg.sentence_spans(docs, "doc_id"), "doc_id")
+    return sg.tokens_to_sentences(table(spark, d, "documents"), "doc_id")
 
 
 @query(f"{_WORDS}, f AS (SELECT doc_id, token_id, token_id - row_number() OVER (PARTITION BY doc_id ORDER BY token_id) AS grp FROM words WHERE length(token) >= 5), i AS (SELECT doc_id, grp, min(token_id) AS start, count(*) AS length FROM f GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start) AS rn FROM i) SELECT doc_id, start, length FROM r WHERE rn = 1")
@@ -203,13 +203,25 @@ def longest_run(spark: SparkSession, d: str) -> DataFrame:
     return sg.longest_run(sg.words(table(spark, d, "documents"), "doc_id").where("char_length(token) >= 5"), "doc_id", "token_id")
 
 
-# A row is the run of a page's tokens on one level; a sentence box joins a parent's tokens of one row.
+# A row is the run of a page's tokens on one level; a row box joins a parent's tokens of one row.
 @query(f"{v.LAYOUT}, {_ROWS} SELECT {P}, parent, CAST(row_id AS BIGINT) AS row_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM clustered WHERE parent IS NOT NULL GROUP BY {P}, parent, row_id")
-def sentence_bboxes(spark: SparkSession, d: str) -> DataFrame:
+def block_row_bboxes(spark: SparkSession, d: str) -> DataFrame:
     t = g.rows(_T(spark, d)).where("parent IS NOT NULL")
     return t.groupBy(*g.PAGE, "parent", F.col("row_id").cast("long").alias("row_id")).agg(*g.union_box())
 
 
+@query(f"""{v.LAYOUT}, {_ROWS}, words AS (SELECT *, CAST(sum(length(text) + 1) OVER (PARTITION BY {P} ORDER BY token_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS e, length(text) AS n FROM clustered WHERE text IS NOT NULL AND text <> ''),
+j AS (SELECT {P}, regexp_extract_all(string_agg(text, ' ' ORDER BY token_id), '[^.!?]*[.!?]+|[^.!?]+$') AS ss FROM words GROUP BY {P}),
+k AS (SELECT {P}, unnest(range(len(ss))) AS sent_id, unnest(ss) AS s FROM j),
+q AS (SELECT {P}, sent_id, sum(length(s)) OVER (PARTITION BY {P} ORDER BY sent_id ROWS UNBOUNDED PRECEDING) AS se, length(s) AS sn FROM k),
+c AS (SELECT t.record_id, t.page_pos, t.token_id, q.sent_id, greatest(q.se - q.sn - (t.e - t.n), 0) + greatest(t.e - q.se, 0) AS cost FROM words t JOIN q ON q.record_id = t.record_id AND q.page_pos = t.page_pos AND t.e - t.n < q.se AND t.e > q.se - q.sn),
+a AS (SELECT {P}, token_id, arg_min(sent_id, cost * 1000000 + sent_id) AS sent_id FROM c GROUP BY ALL)
+SELECT {P}, CAST(sent_id AS INTEGER) AS sent_id, CAST(row_id AS BIGINT) AS row_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM words JOIN a USING (record_id, page_pos, token_id) GROUP BY {P}, sent_id, row_id""")
+def sentence_bboxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of each sentence of a page, one for each row it runs over."""
+    return sg.sentence_boxes(g.rows(_T(spark, d)), g.PAGE).withColumn("row_id", F.col("row_id").cast("long"))
+
+
 # ---- layout tables -------------------------------------------------------------------------------
 
 
@@ -306,16 +318,50 @@ def font_vocab(spark: SparkSession, d: str) -> DataFrame:
     return lo.font_vocabulary(_fonts(spark, d), 2)
 
 
-@query("SELECT DISTINCT a.type FROM (SELECT DISTINCT unnest(pages).layout.bundles AS b FROM layouts), (SELECT 1), LATERAL (SELECT unnest(b).type AS type) a WHERE a.type IS NOT NULL INTERSECT SELECT unnest(['list', 'table', 'caption', 'title', 'nothing'])")
+_BOTH = """, a AS (SELECT DISTINCT t.text AS word FROM tokens t WHERE t.parent IS NOT NULL AND t.text IS NOT NULL AND t.text <> ''),
+b AS (SELECT DISTINCT t.text AS word FROM tokens t WHERE t.parent IS NULL AND t.text IS NOT NULL AND t.text <> '')"""
+
+
+def _vocabularies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two vocabularies: the words of blocks and those outside of blocks."""
+    t = _T(spark, d).where("text IS NOT NULL AND text <> ''")
+    return tuple(t.where(f"parent IS {n} NULL").select(F.col("text").alias("word")).distinct() for n in ("NOT", ""))
+
+
+@query(f"{v.LAYOUT}{_BOTH} SELECT word FROM a INTERSECT SELECT word FROM b")
 def font_intersect(spark: SparkSession, d: str) -> DataFrame:
-    known = spark.createDataFrame([(x,) for x in ("list", "table", "caption", "title", "nothing")], "type string")
-    b = table(spark, d, "layouts").select(F.explode("pages.layout.bundles").alias("b")).select(F.explode("b.type").alias("type")).where("type IS NOT NULL")
-    return b.intersect(known)
+    a, b = _vocabularies(spark, d)
+    return a.intersect(b)
 
 
-@query(f"{v.LAYOUT} SELECT DISTINCT text FROM tokens WHERE text IS NOT NULL AND levenshtein(text, 'readers') <= 2")
+@query(f"{v.LAYOUT}{_BOTH} SELECT a.word, b.word AS near FROM a JOIN b ON a.word <> b.word AND levenshtein(a.word, b.word) <= 1")
 def fuzzy_font(spark: SparkSession, d: str) -> DataFrame:
-    return _T(spark, d).where("text IS NOT NULL").select("text").distinct().where(F.levenshtein("text", F.lit("readers")) <= 2)
+    """Pairs of words of both vocabularies that one edit turns into each other."""
+    return lo.near_words(*_vocabularies(spark, d))
+
+
+@query(f"{v.LAYOUT}, c AS (SELECT text, type, count(*) AS n FROM tokens WHERE text IS NOT NULL AND type IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n DESC, type) AS k FROM c) SELECT text, type, n FROM r WHERE k = 1")
+def modal_type_per_word(spark: SparkSession, d: str) -> DataFrame:
+    counts = _T(spark, d).where("text IS NOT NULL AND type IS NOT NULL").groupBy("text", "type").agg(F.count("*").alias("n"))
+    return counts.groupBy("text").agg(F.min(F.struct((-F.col("n")).alias("m"), "type", "n")).alias("b")).select("text", "b.type", "b.n")
+
+
+_COCO = f"""{v.LAYOUT}, images AS (SELECT record_id * 1000 + page_pos AS image_id, record_id, page_pos, record_id || '_' || page_pos || '.jpg' AS file_name, width, height FROM pages_v),
+categories AS (SELECT type AS name, row_number() OVER (ORDER BY type) AS category_id FROM (SELECT DISTINCT type FROM blocks WHERE type IS NOT NULL)),
+annotations AS (SELECT i.image_id, b.block_id, c.category_id, b.x1, b.y1, b.x2 - b.x1 AS w, b.y2 - b.y1 AS h FROM blocks b JOIN images i USING (record_id, page_pos) JOIN categories c ON c.name = b.type)"""
+
+
+@query(f"{_COCO} SELECT i.file_name, i.width, i.height, c.name AS category, a.block_id, a.x1 AS x, a.y1 AS y, a.w, a.h FROM annotations a JOIN images i USING (image_id) JOIN categories c USING (category_id)")
+def coco_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """An annotation set read back: annotations with their image and the name of their category."""
+    return lo.coco_blocks(*lo.coco_tables(canonical.pages(spark, d), _B(spark, d)))
+
+
+@query(f"{_COCO} SELECT i.file_name, i.image_id, i.width, i.height, count(a.block_id) AS n FROM images i LEFT JOIN annotations a USING (image_id) GROUP BY ALL")
+def coco_image_info(spark: SparkSession, d: str) -> DataFrame:
+    images, annotations, _ = lo.coco_tables(canonical.pages(spark, d), _B(spark, d))
+    n = annotations.groupBy("image_id").agg(F.count("*").alias("n"))
+    return images.join(n, "image_id", "left").select("file_name", "image_id", "width", "height", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT input_id FROM ssc_input WHERE sentences IS NOT NULL AND (len(sentences) = 0 OR list_contains(list_transform(sentences, lambda x: x IS NULL), true))")
@@ -466,3 +512,29 @@ def paper_name_parts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def token_mask(spark: SparkSession, d: str) -> DataFrame:
     return lo.mask_pixels(_T(spark, d))
+
+
+@query(f"""{v.LAYOUT}, o AS (SELECT t.*, b.type AS bt, row_number() OVER (PARTITION BY t.record_id, t.page_pos, t.parent ORDER BY t.token_id) - 1 AS k FROM tokens t JOIN blocks b ON b.record_id = t.record_id AND b.page_pos = t.page_pos AND b.block_id = t.parent),
+n AS (SELECT {P}, parent, token_id, k, CASE WHEN bt = 'figure' THEN 'figure' WHEN bt = 'caption' AND k < 3 THEN max(CASE WHEN k = 3 THEN type END) OVER (PARTITION BY {P}, parent) ELSE type END AS type FROM o)
+SELECT b.record_id, b.page_pos, b.block_id, coalesce(n.type, b.type) AS type FROM blocks b LEFT JOIN n ON n.record_id = b.record_id AND n.page_pos = b.page_pos AND n.parent = b.block_id AND n.k = 0""")
+def true_blocks_typed(spark: SparkSession, d: str) -> DataFrame:
+    """True blocks typed by their tokens' detected types: caption labels are skipped, figures stay figures."""
+    return lo.true_blocks_typed(_B(spark, d), _T(spark, d))[0].select(*g.PAGE, "block_id", "type")
+
+
+_PACK = f"""{v.LAYOUT}, g AS (SELECT {P}, token_id, text, CAST(coalesce(length(type), 0) AS INTEGER) AS label, CAST(floor(x1 / pw * 1000) AS INTEGER) AS bx FROM tokens WHERE text IS NOT NULL AND text <> '' AND pw > 0),
+q AS (SELECT {P}, token_id, label, bx, regexp_extract_all(text, '.{{1,4}}') AS ps FROM g),
+e AS (SELECT {P}, token_id, label, bx, unnest(range(len(ps))) AS k FROM q),
+n AS (SELECT *, row_number() OVER (PARTITION BY {P} ORDER BY token_id, k) - 1 AS pos FROM e),
+w AS (SELECT {P}, CAST(pos // 510 AS INTEGER) AS win, list(CASE WHEN k = 0 THEN label ELSE -1 END ORDER BY pos) AS ls, list(bx ORDER BY pos) AS bs FROM n GROUP BY ALL)
+SELECT {P}, win, '-1,' || array_to_string(ls, ',') || ',-1' || repeat(',-1', CAST(510 - len(ls) AS BIGINT)) AS labels, len(ls) + 2 AS used, '0,' || array_to_string(bs, ',') || ',1000' || repeat(',0', CAST(510 - len(bs) AS BIGINT)) AS boxes FROM w"""
+
+
+@query(_PACK)
+def window_pack_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 512 places with labels, mask and boxes (of which the left edge is shown)."""
+    t = _T(spark, d).where("text IS NOT NULL AND text <> '' AND pw > 0")
+    t = t.withColumn("label", F.coalesce(F.char_length("type"), F.lit(0))).withColumn("bx", F.floor(F.col("x1") / F.col("pw") * 1000).cast("int"))
+    w = sq.boxed_windows(t, g.PAGE, "label", ["bx"])
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return w.select(*g.PAGE, "win", joined("labels").alias("labels"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("used"), joined("bx").alias("boxes"))

@@ -190,6 +190,21 @@ def fill_missing_prediction(spark: SparkSession, d: str) -> DataFrame:
     return g.select("vec_id", "gt").join(g.where("pred IS NOT NULL").select("vec_id", "pred"), "vec_id", "left").fillna(0, ["pred"])
 
 
+@query(f"""{v.LAYOUT}, gt AS (SELECT {"record_id, page_pos"}, token_id, coalesce(type, 'paragraph') AS gt FROM tokens WHERE type IS NOT NULL),
+b AS (SELECT record_id, page_pos, block_id, type FROM blocks),
+one AS (SELECT record_id, page_pos, token_id, type AS pred FROM tokens WHERE text IS NOT NULL AND length(text) % 3 <> 0),
+two AS (SELECT t.record_id, t.page_pos, t.token_id, b.type AS pred FROM tokens t JOIN b ON b.record_id = t.record_id AND b.page_pos = t.page_pos AND b.block_id = t.parent)
+SELECT gt.record_id, gt.page_pos, gt.token_id, gt.gt, 'token' AS predictor, coalesce(one.pred, 'paragraph') AS pred FROM gt LEFT JOIN one USING (record_id, page_pos, token_id)
+UNION ALL SELECT gt.record_id, gt.page_pos, gt.token_id, gt.gt, 'block', coalesce(two.pred, 'paragraph') FROM gt LEFT JOIN two USING (record_id, page_pos, token_id)""")
+def truth_and_predictors(spark: SparkSession, d: str) -> DataFrame:
+    """Ground truth of all pages beside two predictors: tokens by their own type, tokens by their block's type."""
+    tokens, blocks = canonical.tokens(spark, d), canonical.blocks(spark, d)
+    one = tokens.where("text IS NOT NULL AND char_length(text) % 3 <> 0").select(*gm.PAGE, "token_id", F.col("type").alias("pred"))
+    two = tokens.join(blocks.select(*gm.PAGE, F.col("block_id").alias("parent"), F.col("type").alias("pred")), [*gm.PAGE, "parent"]).select(*gm.PAGE, "token_id", "pred")
+    gt = tokens.where("type IS NOT NULL").select(*gm.PAGE, "token_id", F.col("type").alias("gt"))
+    return mt.beside_truth(gt, {"token": one, "block": two}, [*gm.PAGE, "token_id"], "paragraph")
+
+
 @query(f"{_GT} SELECT vec_id, gt, pred FROM g WHERE gt IS NOT NULL AND pred IS NOT NULL")
 def join_truth_prediction(spark: SparkSession, d: str) -> DataFrame:
     g = _gt(spark, d)
@@ -203,7 +218,7 @@ def success_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rouge(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "ssc_input").where("size(sentences) > 1").select("input_id", "scope", F.get("sentences", 0).alias("candidate"), F.slice("sentences", 2, 3).alias("refs"))
+    rows = table(spark, d, "ssc_input").where("size(sentences) > 1").select("input_id", "scope", F.get("sentences", 0).alias("candidate"), F.slice("sentences", 2, 1 << 30).alias("refs"))
     return mt.rouge_l(rows, ["input_id", "scope"], "candidate", "refs")
 
 
@@ -248,10 +263,10 @@ def halve_sequences(spark: SparkSession, d: str) -> DataFrame:
     return sq.halve(table(spark, d, "ssc_input").where("sentences IS NOT NULL"), ["input_id"], "sentences", 10).select("input_id", "part", F.array_join("items", "|").alias("items"))
 
 
-@query(r"SELECT input_id, array_to_string(list_transform(list_filter(sentences, lambda x: x IS NOT NULL), lambda s: array_to_string(regexp_split_to_array(s, '\s+')[1:8], ' ')), ' [SEP] ') AS text FROM ssc_input WHERE sentences IS NOT NULL")
+@query(r"SELECT input_id, array_to_string(list_transform(list_filter(sentences, lambda x: x IS NOT NULL), lambda s: array_to_string(regexp_split_to_array(s, '\s+')[1:100], ' ')), ' [SEP] ') AS text FROM ssc_input WHERE sentences IS NOT NULL")
 def truncate_sep_join(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "ssc_input").where("sentences IS NOT NULL")
-    return rows.select("input_id", sq.join_truncated(F.filter("sentences", lambda s: s.isNotNull()), 8).alias("text"))
+    return rows.select("input_id", sq.join_truncated(F.filter("sentences", lambda s: s.isNotNull()), 100).alias("text"))
 
 
 _PIECES = """WITH _w AS (SELECT doc_id, regexp_extract_all(text, '[^\\s\\x0b]+') AS ws FROM documents),
@@ -262,7 +277,7 @@ pieces AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY word, piece
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    return sq.subtokens(sg.words(table(spark, d, "documents"), "doc_id"), "doc_id")
+    return sq.subtokens(table(spark, d, "documents"), "doc_id")
 
 
 @query(f"{_PIECES} SELECT doc_id, CAST(pos // 510 AS INTEGER) AS win, count(*) AS length, min(word) AS first_word, sum(CASE WHEN piece_no = 0 THEN 1 ELSE 0 END) AS labels FROM pieces GROUP BY 1, 2")

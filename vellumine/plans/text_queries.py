@@ -9,6 +9,7 @@ from vellumine.functions import lexicon as lx
 from vellumine.functions import text as tx
 from vellumine.operators import facets
 from vellumine.plans import sqlviews as v
+from vellumine.session import spread
 from vellumine.sources import canonical
 from vellumine.sources.tables import table
 
@@ -152,8 +153,13 @@ for _name, _detector in facets.ORDER:
 SQL["facet_all"] = v.PAPERS + " " + " UNION ALL ".join(_FACETS.values())
 
 
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    rows = spread(table(spark, d, "sections").where("body IS NOT NULL"), "section_id")
+    return canonical.section_sentences(rows, lambda low: lx.matches(low, "we"))
+
+
 def facet_all(spark: SparkSession, d: str) -> DataFrame:
-    return facets.all_facets(canonical.paper_sentences(spark, d))
+    return facets.all_facets(_marked(spark, d))
 
 
 QUERIES["facet_all"] = facet_all
@@ -166,7 +172,7 @@ def first_author_per_block(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT label, count(*) AS n FROM (" + v.PAPERS + " " + " UNION ALL ".join(_FACETS.values()) + ") GROUP BY label")
 def facet_counts(spark: SparkSession, d: str) -> DataFrame:
-    return facets.all_facets(canonical.paper_sentences(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
+    return facets.all_facets(_marked(spark, d)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT section_id, length(body) AS n, CASE WHEN length(body) > 10 AND length(body) < 600 THEN body ELSE 'BADSENTENCE' END AS body, CASE WHEN length(body) > 10 AND length(body) < 600 THEN 1.0 ELSE 1e-6 END AS score FROM sections WHERE body IS NOT NULL")

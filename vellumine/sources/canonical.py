@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,9 +68,20 @@ def paper_sentences(spark: SparkSession, d: str) -> DataFrame:
 
     A section row is a block; its header in lower case is the section.
     """
-    rows = table(spark, d, "sections").select("paper_id", F.col("section_id").alias("block_id"), F.lower("header").alias("section"), "body")
-    rows = spread(rows.where("body IS NOT NULL"), "block_id")
-    return split_sentences(rows, F.col("body"), "paper_id", "block_id", "section").select("paper_id", "block_id", "sent_id", "text", "section")
+    return section_sentences(spread(table(spark, d, "sections").where("body IS NOT NULL"), "section_id"))
+
+
+def section_sentences(sections: DataFrame, author: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The sentences of ``sections``; with ``author``, ``first_we`` is the number of the first for which it holds in the row."""
+    keys = ["paper_id", "block_id", "section"]
+    rows = sections.select("paper_id", F.col("section_id").alias("block_id"), F.lower("header").alias("section"), "body")
+    if author is None:
+        return split_sentences(rows, F.col("body"), *keys).select("paper_id", "block_id", "sent_id", "text", "section")
+    # one list of sentences a row serves both: the first author sentence is found before the list is taken apart
+    found = F.transform(F.regexp_extract_all(tx.clean_sentence(F.col("body")), F.lit(SENTENCE), F.lit(0)), tx.strip)
+    rows = rows.select(*keys, F.transform(found, lambda t, i: F.struct(i.cast("int").alias("sent_id"), t.alias("text"), (author(F.lower(t)) & (t != "")).alias("we"))).alias("s"))
+    first = F.get(F.filter("s", lambda x: x["we"]), 0)["sent_id"]
+    return rows.select(*keys, first.alias("first_we"), F.explode("s").alias("x")).select("paper_id", "block_id", "x.sent_id", "x.text", "section", "first_we").where("text <> ''")
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
