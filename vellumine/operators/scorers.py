@@ -166,10 +166,18 @@ def condense_clauses(sentences: DataFrame, tagger: Scorer = stub_tagger) -> Data
     return done.where("s.state IN (3, 4)").select("doc_id", "sent_id", F.array_join("s.out", " ").alias("clause"))
 
 
-def calibrate(rows: DataFrame, score: str = "score", hit: str = "hit"):
-    """Isotonic calibration of scores to hit rates; returns the fitted model of MLlib."""
+def calibrate(rows: DataFrame, score: str = "score", hit: str = "hit", most_rows: int = 1_000_000):
+    """Isotonic calibration of scores to hit rates; returns the fitted model of MLlib.
+
+    The fit pools its points in the driver, so of more than ``most_rows`` labelled rows about that many, by a
+    hash of the score, are taken.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
-    data = VectorAssembler(inputCols=[score], outputCol="_f").transform(rows.where(F.col(score).isNotNull() & F.col(hit).isNotNull()))
+    rows = rows.where(F.col(score).isNotNull() & F.col(hit).isNotNull())
+    total = rows.count()
+    if total > most_rows:
+        rows = rows.where(F.pmod(F.xxhash64(score, hit), F.lit(total)) < most_rows)
+    data = VectorAssembler(inputCols=[score], outputCol="_f").transform(rows)
     return IsotonicRegression(featuresCol="_f", labelCol=hit, predictionCol="calibrated").fit(data)

@@ -509,7 +509,9 @@ def paper_name_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "papers").select("id", F.regexp_extract("paper_id", r"^([a-z]*)", 1).alias("venue"), F.regexp_extract("paper_id", r"(\d+)[.-](\d+)$", 1).alias("number"), F.regexp_extract("paper_id", r"(\d+)$", 1).alias("item"))
 
 
-@query()
+@query(f"""{v.LAYOUT}, x AS (SELECT {P}, token_id, type, y1, y2, unnest(range(CAST(floor(x1 / 4) AS BIGINT), CAST(floor(x2 / 4) AS BIGINT) + 1)) AS px FROM tokens WHERE x2 >= x1 AND y2 >= y1 AND type IS NOT NULL),
+y AS (SELECT {P}, token_id, type, px, unnest(range(CAST(floor(y1 / 4) AS BIGINT), CAST(floor(y2 / 4) AS BIGINT) + 1)) AS py FROM x)
+SELECT {P}, CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, arg_max(type, token_id) AS type FROM y GROUP BY ALL""")
 def token_mask(spark: SparkSession, d: str) -> DataFrame:
     return lo.mask_pixels(_T(spark, d))
 

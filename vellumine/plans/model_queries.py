@@ -16,6 +16,7 @@ from vellumine.operators import scorers as sc
 from vellumine.operators import segment as sg
 from vellumine.operators import sequence as sq
 from vellumine.plans import sqlviews as v
+from vellumine.plans.layout_queries import _HIT
 from vellumine.plans.text_queries import SQL as _TEXT_SQL
 from vellumine.session import shared_dir
 from vellumine.sources import canonical
@@ -24,6 +25,10 @@ from vellumine.streaming import facets as fs
 
 QUERIES, SQL = {}, {}
 SQL_FACETS = _TEXT_SQL["facet_counts"]
+# The stand-in scorers take a number in [0, 1) from a digest; DuckDB can do the same.
+_UNIT = "(CAST('0x' || substr(md5('{1}:' || {0}), 1, 12) AS UBIGINT) / 281474976710656.0)"
+_DETECTED = f"d AS (SELECT record_id, page_pos, token_id, ['paragraph', 'title', 'list', 'caption'][1 + CAST(floor({_UNIT.format('text', 0)} * 4) AS INTEGER)] AS type, {_UNIT.format('text', 1)} AS score FROM tokens WHERE text IS NOT NULL AND text <> '')"
+_SOFT = ", ".join(f"exp(4 * {_UNIT.format('sentence', k)})" for k in range(5))
 
 
 def query(sql: str | None = None):
@@ -244,7 +249,10 @@ def last_wins_blocks(spark: SparkSession, d: str) -> DataFrame:
     return canonical.predictions(spark, d).groupBy("paper_id", "sentence").agg(F.max_by("block_id", "pred_id").alias("block_id"))
 
 
-@query()
+@query(f"""{v.LAYOUT}, {_HIT}, {_DETECTED}, h AS (SELECT record_id, page_pos, token_id, min(block_id) AS parent FROM hits GROUP BY ALL),
+c AS (SELECT record_id, page_pos, parent, type, count(*) AS n, min(token_id) AS f FROM d JOIN h USING (record_id, page_pos, token_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY record_id, page_pos, parent ORDER BY n DESC, f) AS rn FROM c)
+SELECT b.record_id, b.page_pos, b.block_id, CASE WHEN b.type IN ('text', 'title', 'list') THEN r.type ELSE b.type END AS type FROM blocks b LEFT JOIN r ON r.record_id = b.record_id AND r.page_pos = b.page_pos AND r.parent = b.block_id AND r.rn = 1""")
 def detected_layout(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of two detectors with their tokens' voted type, from the stand-in token scorer."""
     tokens, blocks = canonical.tokens(spark, d), canonical.blocks(spark, d)
@@ -340,12 +348,15 @@ def papers_to_process(spark: SparkSession, d: str) -> DataFrame:
 # ---- scorers and streams -------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH s AS (SELECT input_id, unnest(range(len(sentences))) AS pos, unnest(sentences) AS sentence FROM ssc_input),
+e AS (SELECT input_id, pos, sentence, [{_SOFT}] AS e FROM s WHERE sentence IS NOT NULL),
+p AS (SELECT input_id, pos, sentence, list_transform(e, lambda x: round(x / list_sum(e), 12)) AS scores FROM e)
+SELECT input_id, CAST(row_number() OVER (PARTITION BY input_id ORDER BY scores DESC, pos) - 1 AS INTEGER) AS rank, sentence, ['Background', 'Objective', 'Method', 'Result', 'Other'][list_position(scores, list_max(scores))] AS label, round(list_max(scores), 6) AS prob FROM p""")
 def classify_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sc.classify_sentences(table(spark, d, "ssc_input"))
 
 
-@query()
+@query(f"{v.LAYOUT}, {_DETECTED} SELECT * FROM d")
 def detect_tokens(spark: SparkSession, d: str) -> DataFrame:
     return sc.detect_tokens(canonical.tokens(spark, d))
 
