@@ -540,3 +540,9 @@ def window_pack_boxes(spark: SparkSession, d: str) -> DataFrame:
     w = sq.boxed_windows(t, g.PAGE, "label", ["bx"])
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return w.select(*g.PAGE, "win", joined("labels").alias("labels"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("used"), joined("bx").alias("boxes"))
+
+
+@query(f"{v.LAYOUT} SELECT record_id, count(*) AS pages, max(width) AS width, max(height) AS height FROM pages_v GROUP BY record_id")
+def page_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Number of pages of each record and the size of its largest."""
+    return canonical.pages(spark, d).groupBy("record_id").agg(F.count("*").alias("pages"), F.max("width").alias("width"), F.max("height").alias("height"))

@@ -323,6 +323,17 @@ def split_70_15_15(spark: SparkSession, d: str) -> DataFrame:
     return ds.split(table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
+@query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('452' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k, count(*) OVER () AS n FROM documents),
+s AS (SELECT doc_id, CASE WHEN k < floor(n * 0.7) THEN 'train' WHEN k < floor(n * 0.7) + floor(n * 0.15) THEN 'dev' ELSE 'test' END AS part FROM r)
+SELECT d.doc_id, 'doc_' || d.doc_id AS savename, d.kind, s.part FROM documents d LEFT JOIN s USING (doc_id)""")
+def subset_of_savename(spark: SparkSession, d: str) -> DataFrame:
+    """The subset of each item by its saved name."""
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("savename")
+    docs = table(spark, d, "documents")
+    parts = ds.split(docs.select("doc_id"), "doc_id").select(name, "part")
+    return docs.select("doc_id", name, "kind").join(parts, "savename", "left").select("doc_id", "savename", "kind", "part")
+
+
 @query("SELECT doc_id FROM documents ORDER BY md5('s' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")
 def sample_n(spark: SparkSession, d: str) -> DataFrame:
     return ds.sample_n(table(spark, d, "documents").select("doc_id"), "doc_id", 100)
