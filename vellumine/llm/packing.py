@@ -3,8 +3,8 @@
 Documents are routed to context-size tiers (an eighth, a quarter, a half and the whole of the
 capacity). From the longest tier down, a tier's items first fill the gaps of the longer windows,
 best fit first, then open windows of their own size; windows are laid into containers in falling
-size, so none crosses a container's end. Containers are dealt to step groups in turn, which spreads
-alike containers evenly.
+size, so none crosses a container's end. Containers are dealt to step groups back and forth, so that no
+group gets the fuller one of every turn.
 
 Only the histogram of sizes (at most ``capacity`` rows) reaches the driver. The plan it makes has a
 size bounded by the capacity, not by the data; each item finds its window from its rank within its
@@ -143,7 +143,9 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, step_containers: int =
             at = plan_[np.searchsorted(plan_[:, 0], rank, side="right") - 1]
             k = rank - at[:, 0]
             token = at[:, 1] + k // at[:, 2] * at[:, 4] + at[:, 3] + k % at[:, 2] * pdf["size"].to_numpy()
-            yield pdf.assign(container=token // capacity, container_offset=token % capacity, tier=at[:, 4], step=token // capacity % steps)
+            turn, place_ = np.divmod(token // capacity, steps)  # containers lie in falling fill: back and forth over the steps
+            step = np.where(turn % 2 == 0, place_, steps - 1 - place_)
+            yield pdf.assign(container=token // capacity, container_offset=token % capacity, tier=at[:, 4], step=step)
 
     schema = "doc_id long, piece int, doc_offset long, size int, container long, container_offset int, tier int, step long"
     return ranked.select("doc_id", "piece", "doc_offset", "size", "rank").mapInPandas(place, schema)
