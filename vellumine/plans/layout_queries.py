@@ -455,7 +455,13 @@ def image_resize(spark: SparkSession, d: str) -> DataFrame:
     return p.join(q, "record_id").select(*g.PAGE, F.round(F.col("w0") / F.col("width"), 6).alias("fx"), F.round(F.col("h0") / F.col("height"), 6).alias("fy"))
 
 
-@query()
+@query(rf"""{v.LAYOUT}, {_ROWS}, sp AS (SELECT b.record_id, b.page_pos, b.block_id AS span_id, string_agg(coalesce(t.text, ''), ' ' ORDER BY t.token_id) AS span FROM blocks b JOIN tokens t ON t.record_id = b.record_id AND t.page_pos = b.page_pos AND t.parent = b.block_id GROUP BY ALL),
+m AS (SELECT c.record_id, c.page_pos, span_id, token_id, row_id, x1, y1, x2, y2, token_id - row_number() OVER (PARTITION BY c.record_id, c.page_pos, span_id ORDER BY token_id) AS grp
+  FROM clustered c JOIN sp ON sp.record_id = c.record_id AND sp.page_pos = c.page_pos
+  WHERE c.text IS NOT NULL AND c.text <> '' AND strpos(lower(replace(span, ' - ', '-')), lower(regexp_replace(c.text, '^[!-/:-@\[-`{{-~]+|[!-/:-@\[-`{{-~]+$', '', 'g'))) > 0),
+u AS (SELECT {P}, span_id, grp, count(*) AS n, min(token_id) AS f FROM m GROUP BY {P}, span_id, grp),
+w AS (SELECT *, row_number() OVER (PARTITION BY {P}, span_id ORDER BY n DESC, f) AS rn FROM u)
+SELECT m.record_id, m.page_pos, m.span_id, m.row_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM m JOIN w ON w.record_id = m.record_id AND w.page_pos = m.page_pos AND w.span_id = m.span_id AND w.grp = m.grp AND w.rn = 1 GROUP BY ALL""")
 def span_bboxes(spark: SparkSession, d: str) -> DataFrame:
     t = g.rows(_T(spark, d))
     spans = lo.block_text(_B(spark, d), _T(spark, d)).select(*g.PAGE, F.col("block_id").alias("span_id"), F.col("text").alias("span"))

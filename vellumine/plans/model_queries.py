@@ -372,7 +372,15 @@ def detect_tokens(spark: SparkSession, d: str) -> DataFrame:
     return sc.detect_tokens(canonical.tokens(spark, d))
 
 
-@query()
+_INTER = "greatest(0, least(q.x2, r.x2) - greatest(q.x1, r.x1)) * greatest(0, least(q.y2, r.y2) - greatest(q.y1, r.y1))"
+_CLEAR = f"len(list_filter(h.kept, lambda q: {_INTER} > 0.4 * ((q.x2 - q.x1) * (q.y2 - q.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - {_INTER}))) = 0"
+_ITEM = "{'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}"
+
+
+@query(f"""{v.LAYOUT.replace("WITH", "WITH RECURSIVE", 1)}, r AS (SELECT *, row_number() OVER (PARTITION BY record_id, page_pos ORDER BY confidence DESC, block_id) AS k FROM blocks WHERE confidence >= 0.55),
+h AS (SELECT r.record_id, r.page_pos, r.k, true AS keep, [{_ITEM}] AS kept FROM r WHERE k = 1
+  UNION ALL SELECT r.record_id, r.page_pos, r.k, {_CLEAR}, CASE WHEN {_CLEAR} THEN list_append(h.kept, {_ITEM}) ELSE h.kept END FROM h JOIN r ON r.record_id = h.record_id AND r.page_pos = h.page_pos AND r.k = h.k + 1)
+SELECT r.record_id, r.page_pos, r.block_id, r.type, r.x1, r.y1, r.x2, r.y2, r.confidence AS score FROM r JOIN h ON h.record_id = r.record_id AND h.page_pos = r.page_pos AND h.k = r.k WHERE h.keep""")
 def suppress_blocks(spark: SparkSession, d: str) -> DataFrame:
     return sc.suppress(canonical.blocks(spark, d).withColumnRenamed("confidence", "score"))
 
