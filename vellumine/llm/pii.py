@@ -445,22 +445,31 @@ def _with_names(texts: DataFrame, lexicon: Lexicon | DataFrame) -> DataFrame:
     return (texts.join(names, "doc_id", "left").withColumn("given", F.coalesce("given", empty)).withColumn("family", F.coalesce("family", empty)))
 
 
-def _finder(spark: SparkSession, lexicon: Lexicon | DataFrame) -> Callable[[str, object, object], list[tuple[int, int, str]]]:
-    """Details of a text, with the broadcast lexicon or with the names that came with the text."""
-    shared = spark.sparkContext.broadcast((lexicon if isinstance(lexicon, Lexicon) else None, trained()))
+Look = Callable[[str, object, object], list[tuple[int, int, str]]]
 
-    def look(text: str, given: object, family: object) -> list[tuple[int, int, str]]:
-        lex, weights = shared.value
-        return find(text, lex if lex is not None else Lexicon(given, family), weights)
 
-    return look
+def _finder(spark: SparkSession, lexicon: Lexicon | DataFrame) -> Callable[[], Look]:
+    """Makes, in a task, what finds the details of a text with the broadcast lexicon or the names that came with the text.
+
+    Plain sets are broadcast: unlike functions, objects of this package's classes need it on the executors.
+    """
+    names = (frozenset(lexicon.given), frozenset(lexicon.family)) if isinstance(lexicon, Lexicon) else None
+    shared = spark.sparkContext.broadcast((names, trained()))
+
+    def make() -> Look:
+        known, weights = shared.value
+        own = None if known is None else Lexicon(*known)
+        return lambda text, given, family: find(text, Lexicon(given, family) if own is None else own, weights)
+
+    return make
 
 
 def details(documents: DataFrame, lexicon: Lexicon | DataFrame) -> DataFrame:
     """One row per personal detail; see ``FOUND``."""
-    look = _finder(documents.sparkSession, lexicon)
+    finder = _finder(documents.sparkSession, lexicon)
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = finder()
         for pdf in parts:
             rows = [(d, k, s, e) for d, t, g, f in pdf.itertuples(index=False) for s, e, k in look(t, g, f)]
             yield pd.DataFrame(rows, columns=["doc_id", "pii", "start_pos", "end_pos"])
@@ -471,9 +480,10 @@ def details(documents: DataFrame, lexicon: Lexicon | DataFrame) -> DataFrame:
 
 def redacted(documents: DataFrame, lexicon: Lexicon | DataFrame) -> DataFrame:
     """``(doc_id, text)`` with placeholders."""
-    look = _finder(documents.sparkSession, lexicon)
+    finder = _finder(documents.sparkSession, lexicon)
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = finder()
         for pdf in parts:
             rows = [(d, None if t is None else redact(t, look(t, g, f))) for d, t, g, f in pdf.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["doc_id", "text"])
