@@ -1,3 +1,8 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
 from vellumine.llm import ocr
 
 
@@ -113,3 +118,35 @@ def test_context_decides(spark, monkeypatch):
         monkeypatch.setattr(ocr, "vectors", lambda *a, made=made: made)
         noise = ocr.Noise(*_tables(spark))
         assert {(r.src, r.row_id, r.pos) for r in noise.found().where("noise = 'char'").collect()} == want
+
+
+def test_vectors_do_not_depend_on_size(spark, monkeypatch):
+    """Every frequent word has a vector, and the same one if the input is repeated, spread or joined otherwise."""
+    got = []
+    monkeypatch.setattr(ocr, "misreadings", lambda scanned, words, vecs: got.append({r.word: list(r.vector) for r in vecs.collect()}))
+    sec, ssc = _tables(spark)
+    twice = (sec.unionByName(sec.withColumn("section_id", F.col("section_id") + 1000)).repartition(3), ssc.unionByName(ssc.withColumn("input_id", F.col("input_id") + 1000)))
+    for most, broadcast, tables in ((2_000_000, 50_000, (sec, ssc)), (10, 50_000, (sec, ssc)), (2, 0, (sec, ssc)), (2_000_000, 50_000, twice)):
+        monkeypatch.setattr(ocr, "MOST_VECTORS", most)
+        monkeypatch.setattr(ocr, "BROADCAST_VECTORS", broadcast, raising=False)
+        ocr.Noise(*tables)
+        assert set(got[-1]) == {w for line in LONG for w in line.split()}
+    for other in got[1:]:
+        for word, vector in other.items():
+            assert vector == pytest.approx(got[0][word], abs=1e-6)
+
+
+def test_vectors_tell_neighbours(spark):
+    kinds = [[f"{k}{i}" for i in range(6)] for k in "ab"]
+    lines = [[kind[(i * j + s) % 6] for i in range(6)] for kind in kinds for j in (1, 5) for s in range(6)]
+    scanned = spark.createDataFrame([("words", line) for line in lines] + [("words", ["alone"])] * 12, "kind string, words array<string>")
+    vecs = {r.word: r.vector for r in ocr.vectors(scanned, ocr.vocabulary(scanned), 2).collect()}
+    assert sorted(vecs) == sorted(kinds[0] + kinds[1])  # a word that stands near no other has none
+
+    def fit(v, w):
+        dot = lambda a, b: sum(x * y for x, y in zip(vecs[a], vecs[b], strict=True))
+        return dot(v, w) / math.sqrt(dot(v, v) * dot(w, w))
+
+    assert min(fit("a0", "a1"), fit("b0", "b1")) > 0.5 > 0 > max(fit("a0", "b0"), fit("a1", "b1"))
+    only = scanned.where("size(words) = 1")
+    assert ocr.vectors(only, ocr.vocabulary(only)).count() == 0

@@ -5,7 +5,7 @@
    into a sentence where the text wouldn't have been wrapped; what repeats such a line in the text, or in
    two other texts, is a header too.
 2. The vocabulary is counted over all texts. Skip-gram vectors of its frequent words are learned
-   from all lines.
+   from all lines, by alternating least squares on the counts of neighbours.
 3. Rare words are linked to far more frequent words that plausible glyph edits turn them into; each
    occurrence weighs its candidates by the edits, by how much more frequent the word is and by how much
    better its vector fits the vectors of the neighbours than the read form; it is a misreading only
@@ -15,10 +15,10 @@
 5. ``repaired`` removes furniture, mends words and reflows lines into paragraphs.
 
 Vocabulary, candidates and occurrences are joined as tables; nothing of a size that grows with the
-data is broadcast or collected. Word2Vec keeps a vector only for words with at least ``FREQUENT``
-occurrences or a 2,000,000th of all words, so at most 2,000,000 words; where a vector is missing the
-context says nothing. Any word with ``FREQUENT`` occurrences may be what was printed. Words of one or
-two characters aren't tried as misreadings, lines over ``LONGEST_HEADER`` characters not as headers.
+data is broadcast or collected. Every word with ``FREQUENT`` occurrences may be what was printed, and has
+a vector if such a word stands near it, however many words there are; where a vector is missing the
+context says nothing. Words of one or two characters aren't tried as misreadings, lines over
+``LONGEST_HEADER`` characters not as headers.
 
 Defined results: null and empty texts and elements give no rows; blank lines count as lines, null
 elements as places; texts known to be digital have no noise; a scanned body that is broken into
@@ -31,18 +31,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.session import materialise, spread
+from vellumine.session import Stored, materialise, spread
 
 FREQUENT = 12
 #: A longer line is no running header.
 LONGEST_HEADER = 160
+#: Sets ``Noise.least`` only, on which no result depends.
 MOST_VECTORS = 2_000_000
+#: Skip-gram: random words a pair of neighbours is set against, passes over the counts, and the share of a
+#: word's weight that holds its vector at zero.
+NEGATIVES, PASSES, RIDGE = 5, 6, 0.01
+#: Most vectors that a pass broadcasts (5 MB); more are joined as a table, with the same result.
+BROADCAST_VECTORS = 50_000
 #: Evidence for a misreading, in bits: needed at all; how much more frequent its word is at least; for a
 #: sign that no word has; and per unit of fit to the context.
 NEEDED_BITS, LINK_BITS, ODD_BITS, FIT_BITS = 5.0, 3.0, 2.0, 6.0
@@ -322,13 +327,75 @@ def furniture(scanned: DataFrame) -> DataFrame:
     return sure.unionByName(more.select("src", "row_id", "pos", F.lit("running_header").alias("kind")))
 
 
-def vectors(scanned: DataFrame, least: int, size: int = 12, seed: int = 11) -> DataFrame:
-    """Skip-gram vectors ``(word, vector)`` of the words with at least ``least`` occurrences."""
-    lines = scanned.where("kind = 'words'").select("words")
-    spark = scanned.sparkSession
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    model = Word2Vec(vectorSize=size, minCount=least, windowSize=2, maxIter=1, numPartitions=parts, seed=seed, inputCol="words", outputCol="v").fit(lines)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+def neighbours(scanned: DataFrame, known: DataFrame) -> DataFrame:
+    """How often the words ``(word, id)`` stand next to each other or one word apart: ``(a, b, n)``, both ways."""
+    near = F.explode(F.arrays_zip(F.col("words").alias("w"), F.expr("slice(words, 2, size(words))").alias("x"), F.expr("slice(words, 3, size(words))").alias("y"))).alias("z")
+    pairs = scanned.where("kind = 'words' AND size(words) > 1").select(near).select(F.col("z.w").alias("v"), F.explode(F.array("z.x", "z.y")).alias("w")).where("w IS NOT NULL")
+    pairs = pairs.groupBy(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).agg(F.count("*").alias("n"))
+    for side, name in (("v", "a"), ("w", "b")):
+        pairs = pairs.join(known.select(F.col("word").alias(side), F.col("id").alias(name)), side)
+    return pairs.select(F.explode(F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))).alias("p")).select("p.*")
+
+
+def vectors(scanned: DataFrame, words: DataFrame, size: int = 12, seed: int = 11) -> DataFrame:
+    """Skip-gram vectors ``(word, vector)`` of all words with ``FREQUENT`` occurrences that stand near another one.
+
+    Skip-gram with negative sampling, all negatives in expectation and the logistic loss replaced by its
+    quadratic bound at 0: per pass, each word's vector is the exact minimum given those of its neighbours. Vocabulary,
+    counts and vectors are tables; the driver holds the moments of the vectors (``size`` squared numbers).
+    Vectors begin with the hash of their word and follow from the counts only, so neither the order of the rows, the
+    partitions nor the size of the input matters: a corpus given twice has the vectors of the corpus (but those of
+    words that only then are frequent).
+    """
+    xs = [f"x{i}" for i in range(size)]
+    square = [(i, j) for i in range(size) for j in range(i, size)]
+    known = Stored(words.where(F.col("n") >= FREQUENT).select("word", F.monotonically_increasing_id().alias("id")))
+    # rows of a word lie together, so their sums need no more than a row each
+    pairs = Stored(neighbours(scanned, known.df).repartition("a").sortWithinPartitions("a"))
+    first = [(F.xxhash64("word", F.lit(seed * size + i)) / F.lit(2.0**64)).alias(x) for i, x in enumerate(xs)]
+    now = Stored(pairs.df.groupBy(F.col("a").alias("id")).agg(F.sum("n").cast("double").alias("weight")).join(known.df, "id").select("id", "weight", *first))
+    schema = "id long, weight double, " + ", ".join(f"{x} double" for x in xs)
+
+    def sums(w: str) -> list[Column]:
+        return [F.expr(x) for x in (f"sum({w}) AS weight", *(f"sum({w} * {x}) AS s_{x}" for x in xs), *(f"sum({w} * x{i} * x{j}) AS q{i}_{j}" for i, j in square))]
+
+    def parted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weight, weighted sum and weighted squares of vectors, one row each."""
+        both = np.empty((len(rows), size, size))
+        for k, (i, j) in enumerate(square):
+            both[:, i, j] = both[:, j, i] = rows[:, 1 + size + k]
+        return rows[:, 0], rows[:, 1 : 1 + size], both
+
+    moments, pulls = sums("weight"), sums("n")
+    few = now.df.limit(BROADCAST_VECTORS + 1).count() <= BROADCAST_VECTORS
+    for _ in range(PASSES):
+        row = now.df.agg(*moments).first()
+        if row[0] is None:
+            break
+        total, mean, square_mean = (x[0] for x in parted(np.array([row], dtype=float)))
+        mean, square_mean = mean / total, square_mean / total
+
+        def solve(batches: Iterator[pd.DataFrame], mean: np.ndarray = mean, square_mean: np.ndarray = square_mean) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                n, near, both = parted(pdf.drop(columns="id").to_numpy(dtype=float))
+                left = both + n[:, None, None] * (NEGATIVES * square_mean + RIDGE * np.eye(size))
+                right = 2 * (near - NEGATIVES * n[:, None] * mean)
+                out = pd.DataFrame(np.linalg.solve(left, right[..., None])[..., 0], columns=xs)
+                out.insert(0, "id", pdf["id"].to_numpy())
+                out.insert(1, "weight", n)
+                yield out
+
+        ends = now.df.select(F.col("id").alias("b"), *xs)
+        near = pairs.df.join(F.broadcast(ends), "b") if few else pairs.df.join(ends.hint("merge"), "b").drop("b").repartition("a")
+        new = Stored(near.groupBy(F.col("a").alias("id")).agg(*pulls).mapInPandas(solve, schema))
+        now.drop()
+        now = new
+    # what all vectors share says nothing about a context
+    mean = now.df.agg(*(F.avg(x) for x in xs)).first()
+    made = materialise(now.df.join(known.df, "id").select("word", F.array(*(F.col(x) - F.lit(m) for x, m in zip(xs, mean, strict=True))).alias("vector")))
+    for table in (now, pairs, known):
+        table.drop()
+    return made
 
 
 def variants(word: str) -> list[tuple[str, int]]:
@@ -458,8 +525,7 @@ class Noise:
         if most < FREQUENT:
             self.misread = spark.createDataFrame([], "src string, row_id long, pos int, at int, nth int, rare string, word string, bits double")
         else:
-            vecs = vectors(self.scanned, self.least) if most >= self.least else spark.createDataFrame([], "word string, vector array<double>")
-            self.misread = misreadings(self.scanned, self.words, vecs)
+            self.misread = misreadings(self.scanned, self.words, vectors(self.scanned, self.words))
 
     def found(self) -> DataFrame:
         """One row ``(src, row_id, pos, noise)`` per damaged place."""
